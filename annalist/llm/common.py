@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -34,8 +35,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more: it does so when the
     driver's garbage is collected, which else may take half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection lets Python's handles go, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -107,6 +110,16 @@ def mix64(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(31))
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and for each element the place of its value there."""
+    order = np.argsort(a)
+    ranked = a[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(a) else np.empty(0, bool)
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ranked[first], place
+
+
 def batch_of(schema: pa.Schema, out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema=schema)
 

@@ -10,8 +10,8 @@ is kept out of the counts that the weights are fitted with (the deleted part) an
 with which texts are scored.  A context that was never seen leaves all weight to the shorter one.
 
 Dataflow.  Documents become blocks (see blocks.py); each block sends the distinct hashed n-grams of
-all orders with their counts to buckets of keys; buckets sum and answer; from the answers each block
-writes the events of the held-out fold, which EM reduces to histograms of bounded size (context bucket x
+all orders with their counts to buckets of keys; buckets sum and answer; the answers are joined back
+by block, as the counts of all places and the events of the held-out fold, which EM reduces to histograms of bounded size (context bucket x
 two binned log probabilities), and finally scores its documents.  n-gram keys are 64-bit hashes; n-grams of
 order 2 and up keep 40 bits of theirs within a bucket of some millions of keys, at any size of the corpus.
 
@@ -38,7 +38,7 @@ END, START = b"\n", b" "  # words hold no white space, so these can't be words
 N_CONTEXT, N_BINS, BIN = 24, 256, 8.0  # context buckets; bins of -log2(p), 1/BIN octave each
 REQUEST = "bucket int, block_id long, level int, keys binary, main binary, held binary"
 REPLY = "block_id long, bucket int, level int, main binary, total binary"
-EVENTS = "payload binary"
+COUNTED = "doc_ids binary, folds binary, lengths binary, counts binary, events binary"
 SCORES = "doc_id long, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _ARROW = {
     "request": pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("main", pa.binary()), ("held", pa.binary())]),
@@ -92,33 +92,22 @@ class Grams:
         self.is_start = stream == start
 
 
-def _distinct(g: Grams, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-gram keys of a block in order of (bucket bits, key), and the places counted."""
-    where = np.flatnonzero(g.counted)
-    return np.unique(g.keys[k - 1][where]), where
-
-
 def _bucket(keys: np.ndarray, n: int, level: int) -> np.ndarray:
     """Ascending with ascending keys: the top 32 bits scaled to n."""
     top = keys >> np.uint64(32 - (spare_bits(n) if level > 1 else 0))
     return (top * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
-def _counts(g: Grams, k: int, keys: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    found = np.searchsorted(keys, g.keys[k - 1][mask])
-    return np.bincount(found, minlength=len(keys)).astype(np.uint32)
-
-
 def _requests(order: int, folds: int, excluded: int, held: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items():
             for b in batches:
                 for row in b.to_pylist():
                     g = Grams(B.Block(row), order, folds, n)
-                    train, aside = (g.fold != excluded) & (g.fold != held), g.fold == held
+                    train, aside = (m[g.doc][g.counted] for m in ((g.fold != excluded) & (g.fold != held), g.fold == held))
                     for k in range(1, order + 1):
-                        keys, _ = _distinct(g, k)
-                        main, late = (_counts(g, k, keys, g.counted & m[g.doc]) for m in (train, aside))
+                        keys, at = C.distinct(g.keys[k - 1][g.counted])
+                        main, late = (np.bincount(at[m], minlength=len(keys)).astype(np.uint32) for m in (train, aside))
                         at = B.split(_bucket(keys, n, k), n)
                         for i in np.flatnonzero(np.diff(at)).tolist():
                             s = slice(at[i], at[i + 1])
@@ -154,30 +143,34 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 class Counts:
-    """The corpus counts of a block's n-grams, by place."""
-
-    def __init__(self, g: Grams, replies: list[dict], order: int, column: str):
-        got: dict[int, list] = {k: [] for k in range(1, order + 1)}
-        for r in sorted(replies, key=lambda r: r["bucket"]):
-            if r["level"]:
-                got[r["level"]].append(C.unpack(r[column], np.uint64))
-        self.at = []
+    """The corpus counts of the n-grams that end at each counted place of a block."""
+
+    def __init__(self, counted: np.ndarray, at: list[np.ndarray]):
+        self.counted, self.at = counted, at
+        self.full = []
+        for a in at:
+            self.full.append(np.zeros(len(counted), np.int64))
+            self.full[-1][counted] = a
+
+    @classmethod
+    def of(cls, g: Grams, replies: list[dict], order: int, columns: list[str]) -> list[Counts]:
+        out: list[list] = [[] for _ in columns]
         for k in range(1, order + 1):
-            keys, _ = _distinct(g, k)
-            count = np.concatenate(got[k]).astype(np.int64) if got[k] else np.empty(0, np.int64)
-            if len(count) != len(keys):
-                raise RuntimeError(f"block: {len(keys)} keys of order {k}, {len(count)} answers")
-            full = np.zeros(len(g.doc), np.int64)
-            where = np.flatnonzero(g.counted)
-            full[where] = count[np.searchsorted(keys, g.keys[k - 1][where])]
-            self.at.append(full)
+            mine = sorted((r for r in replies if r["level"] == k), key=lambda r: r["bucket"])
+            keys, at = C.distinct(g.keys[k - 1][g.counted])
+            for x, c in zip(out, columns, strict=True):
+                count = np.concatenate([C.unpack(r[c], np.uint64) for r in mine]).astype(np.int64)
+                if len(count) != len(keys):
+                    raise RuntimeError(f"block: {len(keys)} keys of order {k}, {len(count)} answers")
+                x.append(count[at])
+        return [cls(g.counted, x) for x in out]
 
     def gram(self, k: int, where: np.ndarray) -> np.ndarray:
-        return self.at[k - 1][where]
+        return self.full[k - 1][where]
 
     def context(self, k: int, where: np.ndarray) -> np.ndarray:
         """How often the first k - 1 tokens of the k-gram were seen."""
-        return self.at[k - 2][where - 1]
+        return self.full[k - 2][where - 1]
 
 
 def _log_bin(p: np.ndarray) -> np.ndarray:
@@ -230,8 +223,9 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, excluded: int = 0, h
     own = [c for c in blocks.columns if c != "block_id"]
     answer = ["bucket", "level", "main", "total"]
     joined = blocks.select("block_id", *own, *(F.lit(None).cast(replies.schema[c].dataType).alias(c) for c in answer)).unionByName(replies.where("block_id >= 0").select("block_id", *(F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in own), *answer))
-    events = C.checkpoint(joined.groupBy("block_id").applyInArrow(_events(order, folds, held, n), EVENTS))
+    counted = C.checkpoint(joined.groupBy("block_id").applyInArrow(_join(order, folds, held, n), COUNTED))
     C.release(docs.sparkSession)
+    events = counted.select("events")
     weights: list[np.ndarray] = []
     for k in range(1, order + 1):
         hist = np.zeros(N_CONTEXT * N_BINS * N_BINS, np.float64)
@@ -239,7 +233,7 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, excluded: int = 0, h
         for cell, count in cells.collect():  # at most N_CONTEXT * N_BINS ** 2 rows, whatever the corpus
             hist[cell] = count
         weights.append(learn_weights(hist.reshape(N_CONTEXT, N_BINS, N_BINS)))
-    return joined.groupBy("block_id").applyInArrow(_score(order, folds, n, total, v, weights), SCORES)
+    return counted.drop("events").mapInArrow(_score(order, total, v, weights), SCORES)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,21 +242,19 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"n": pa.array([int(x[0]) for x in got], pa.int64()), "v": pa.array([int(x[1]) for x in got], pa.int64()), "main": pa.array([int(x[2]) for x in got], pa.int64())})
 
 
-def _parts(table: pa.Table) -> tuple[B.Block, list[dict]]:
-    got = table.to_pylist()
-    return B.Block(next(r for r in got if r["doc_ids"] is not None)), [r for r in got if r["doc_ids"] is None]
-
-
-def _events(order: int, folds: int, held: int, n_buckets: int):
-    """The events of the held-out fold with the counts of the other folds, one row a block."""
+def _join(order: int, folds: int, held: int, n_buckets: int):
+    """Of each block, the counts at all places, and the events of the held-out fold with the counts of
+    the others."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, replies = _parts(table)
+        got = table.to_pylist()
+        block = B.Block(next(r for r in got if r["doc_ids"] is not None))
         g = Grams(block, order, folds, n_buckets)
+        main, total = Counts.of(g, [r for r in got if r["doc_ids"] is None], order, ["main", "total"])
         where = np.flatnonzero(g.real & (g.fold == held)[g.doc])
-        c = Counts(g, replies, order, "main")
-        columns = [c.gram(k, where) for k in range(1, order + 1)] + [c.context(k, where) for k in range(2, order + 1)]
-        return pa.table({"payload": pa.array([C.pack(np.concatenate(columns).astype(np.uint64), 1)], pa.binary())})
+        columns = [main.gram(k, where) for k in range(1, order + 1)] + [main.context(k, where) for k in range(2, order + 1)]
+        cells = [C.pack(block.doc_ids), C.pack(g.fold), C.pack(g.lengths), C.pack(np.concatenate(total.at), 1), C.pack(np.concatenate(columns), 1)]
+        return pa.table({c: pa.array([x], pa.binary()) for c, x in zip(("doc_ids", "folds", "lengths", "counts", "events"), cells, strict=True)})
 
     return run
 
@@ -273,8 +265,8 @@ def _histogram(order: int, level: int, n: int, v: int, weights: list[np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hist: dict[int, int] = {}
         for b in batches:
-            for blob in b.column("payload").to_pylist():
-                a = C.unpack(blob, np.uint64).astype(np.int64)
+            for blob in b.column("events").to_pylist():
+                a = C.unpack(blob, np.int64)
                 cols = a.reshape(2 * order - 1, -1)
                 grams, contexts = cols[:order], [None, *cols[order:]]
                 c = contexts[level - 1] if level > 1 else np.full(cols.shape[1], n)
@@ -290,17 +282,19 @@ def _histogram(order: int, level: int, n: int, v: int, weights: list[np.ndarray]
     return run
 
 
-def _score(order: int, folds: int, n_buckets: int, n: int, v: int, weights: list[np.ndarray]):
-    def run(table: pa.Table) -> pa.Table:
-        block, replies = _parts(table)
-        g = Grams(block, order, folds, n_buckets)
-        c = Counts(g, replies, order, "total")
-        where = np.flatnonzero(g.real)
-        doc = g.doc[where]
-        grams = [c.gram(k, where) for k in range(1, order + 1)]
-        p = _mixed(grams, [None, *(c.context(k, where) for k in range(2, order + 1))], n, v, weights)
-        base = np.log10((grams[0] + 0.1) / (n + 0.1 * (v + 1)))
-        add = lambda x: np.bincount(doc, weights=x, minlength=g.n)
-        return pa.table([pa.array(block.doc_ids), pa.array(g.fold), pa.array(g.lengths.astype(np.int64)), pa.array(add(grams[0] > 0).astype(np.int64)), pa.array(np.full(g.n, n, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))], schema=_ARROW["scores"])
+def _score(order: int, n: int, v: int, weights: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                doc_ids, fold, lengths = C.unpack(row["doc_ids"], np.int64), C.unpack(row["folds"], np.int32), C.unpack(row["lengths"], np.int64)
+                # the counted places of a document: its last start mark and its tokens
+                c = Counts(np.ones(int((lengths + 1).sum()), bool), list(C.unpack(row["counts"], np.int64).reshape(order, -1)))
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                where = np.arange(len(doc)) + doc + 1
+                grams = [c.gram(k, where) for k in range(1, order + 1)]
+                p = _mixed(grams, [None, *(c.context(k, where) for k in range(2, order + 1))], n, v, weights)
+                base = np.log10((grams[0] + 0.1) / (n + 0.1 * (v + 1)))
+                add = lambda x: np.bincount(doc, weights=x, minlength=len(lengths))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(fold), pa.array(lengths), pa.array(add(grams[0] > 0).astype(np.int64)), pa.array(np.full(len(doc_ids), n, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))], schema=_ARROW["scores"])
 
     return run
