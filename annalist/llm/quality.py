@@ -45,6 +45,7 @@ POLICIES: dict[str, int] = {
     "2024.2": mask(*RULES),
 }
 CURRENT = "2024.2"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stutter", "n_repeat_words", "bits", "base_failed", "kept", "_t", "_w", "_l", "_h", "_p", "_i")
 
 
 def _words(text: str) -> Column:
@@ -53,13 +54,19 @@ def _words(text: str) -> Column:
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, the measurements and ``bits`` (the failed rules) of every row."""
-    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    d = d.select("doc_id", "_t", _words("_t").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "").alias("_l"))
+    """doc_id, the measurements and ``bits`` (the failed rules) of every row."""
+    return measured(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).drop("text")
+
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the measurements and ``bits``; columns of docs by these names are replaced."""
+    own = [c for c in docs.columns if c not in MEASURES]
+    d = docs.select(*own, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
+    d = d.select(*own, "_t", _words("_t").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "").alias("_l"))
     size = F.size("_w")
     hashes = F.expr(f"CASE WHEN size(_w) > {WINDOW} THEN transform(sequence(0, size(_w) - {WINDOW}), i -> xxhash64({', '.join(f'_w[i + {j}]' for j in range(WINDOW))})) ELSE array() END")
     d = d.select(
-        "doc_id",
+        *own,
         size.cast("long").alias("n_words"),
         F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
