@@ -5,8 +5,9 @@ distinct words, and those words.  Operators that must look up every word or n-gr
 global table send each block's *distinct* keys only, in one row for each (bucket of keys, block), and
 get one row back: the shuffle holds distinct keys of blocks, not tokens, and a hot key appears at most
 once for each block however many rows hold it.  The number of buckets follows the corpus, so that
-neither side of the exchange outgrows a task.  Blocks are checkpointed before use: their contents
-never change when executors are lost.
+neither side of the exchange outgrows a task.  ``build`` checkpoints blocks: their contents never
+change when executors are lost.  ``plan`` leaves that out, for users that can do with blocks that
+come out otherwise when they are made again.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ class _Vocabulary(dict):
 
 def build(df: DataFrame, tokenize: Callable[[bytes], list], block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Checkpointed blocks of df.  tokenize gives a text's tokens (bytes or str) in order."""
+    return C.checkpoint(plan(df, tokenize, block_bytes, key, text))
+
+
+def plan(df: DataFrame, tokenize: Callable[[bytes], list], block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Blocks of df, made again by whatever reads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -58,7 +64,7 @@ def build(df: DataFrame, tokenize: Callable[[bytes], list], block_bytes: int = B
             yield C.batch_of(_ARROW, [flush()])
 
     # a null key (a row without identity) can't be told from others in a result by key
-    return C.checkpoint(C.texts(df.where(F.col(key).isNotNull()), key, text).mapInArrow(run, SCHEMA))
+    return C.texts(df.where(F.col(key).isNotNull()), key, text).mapInArrow(run, SCHEMA)
 
 
 class Block:

@@ -3,7 +3,10 @@
 The text is split by the tokenizer's pattern; blocks (see blocks.py) keep the pre-tokens of their
 documents in order, as positions in the block's distinct words.  Each block sends its distinct words to
 buckets of words; a bucket encodes each distinct word of the corpus once and answers with ids, which
-are joined back by block and put together by position.  Decoding joins the token-byte table (as many
+are joined back by block and put together by position.  Blocks are made twice, for the words and for the
+join, which is cheaper than keeping them; should a block come out otherwise the second time (an input that
+isn't read in the same order), its fingerprint differs from that of its answers and it encodes its
+own words.  Decoding joins the token-byte table (as many
 rows as the vocabulary) to the ids.
 
 Defined results: a null or empty text has no ids; rows with a null id have none; repeated rows are
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import common as C
 
-REQUEST = "bucket int, block_id long, places binary, word_lengths binary, words binary"
-REPLY = "block_id long, bucket int, places binary, id_lengths binary, word_ids binary"
-_REQUEST = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("places", pa.binary()), ("word_lengths", pa.binary()), ("words", pa.binary())])
-_REPLY = pa.schema([("block_id", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("id_lengths", pa.binary()), ("word_ids", pa.binary())])
+REQUEST = "bucket int, block_id long, print long, places binary, word_lengths binary, words binary"
+REPLY = "block_id long, print long, places binary, id_lengths binary, word_ids binary"
+_REQUEST = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("print", pa.int64()), ("places", pa.binary()), ("word_lengths", pa.binary()), ("words", pa.binary())])
+_REPLY = pa.schema([("block_id", pa.int64()), ("print", pa.int64()), ("places", pa.binary()), ("id_lengths", pa.binary()), ("word_ids", pa.binary())])
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,18 +57,22 @@ def token_bytes(path: str) -> tuple[bytes, ...]:
     return tuple(table)
 
 
+def fingerprint(block: dict) -> int:
+    return xxhash.xxh3_64_intdigest(block["word_lengths"] + block["words"]) >> 1
+
+
 def _ask(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def items():
             for b in batches:
                 for row in b.to_pylist():
-                    words = B.Block(row).words
+                    words, own = B.Block(row).words, fingerprint(row)
                     bucket = np.array([xxhash.xxh3_64_intdigest(w) % n for w in words], np.int64)
                     order = np.argsort(bucket, kind="stable")
                     at = B.split(bucket[order], n)
                     for i in np.flatnonzero(np.diff(at)).tolist():
                         mine = order[at[i] : at[i + 1]]
-                        yield (i, row["block_id"], C.pack(mine.astype(np.uint32), 1), *C.pack_words([words[j] for j in mine.tolist()]))
+                        yield (i, row["block_id"], own, C.pack(mine.astype(np.uint32), 1), *C.pack_words([words[j] for j in mine.tolist()]))
 
         yield from C.emit(items(), _REQUEST)
 
@@ -83,7 +90,7 @@ def _encode_bucket(path: str, pattern: str):
                     known[w] = got = encode(w)
                 ids.append(got)
             flat = [x for got in ids for x in got]
-            out.append((row["block_id"], row["bucket"], row["places"], C.pack(np.fromiter(map(len, ids), np.uint32, len(ids))), C.pack(np.array(flat, np.uint32))))
+            out.append((row["block_id"], row["print"], row["places"], C.pack(np.fromiter(map(len, ids), np.uint32, len(ids))), C.pack(np.array(flat, np.uint32))))
         return pa.Table.from_batches([C.batch_of(_REPLY, out)])
 
     return run
@@ -103,26 +110,34 @@ def word_ids(replies: list[dict], n_words: int) -> list[list[int]]:
     return out
 
 
-def per_document(docs: DataFrame, path: str, pattern: str, finish, schema: str, key: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def per_document(docs: DataFrame, path: str, pattern: str, finish, schema: str, arrow: pa.Schema, key: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """finish(doc_ids, lengths, places of words, ids of words) -> pa.Table, called for each block."""
 
     def splitter(raw: bytes) -> list[str]:
         return regex.findall(pattern, raw.decode("utf-8", "replace"))
 
-    blocks = B.build(docs, splitter, block_bytes, key, text)
-    words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    replies = C.checkpoint(blocks.mapInArrow(_ask(B.buckets(words, 200_000)), REQUEST).groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), REPLY))
+    blocks = B.plan(docs, splitter, block_bytes, key, text)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    asked = blocks.mapInArrow(_ask(B.buckets(size, 8 << 20)), REQUEST)
+    replies = C.checkpoint(asked.groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), REPLY))
     C.release(docs.sparkSession)
-    mine = ["n_words", "doc_ids", "lengths", "ids"]
-    theirs = ["places", "id_lengths", "word_ids"]
+    mine = ["doc_ids", "lengths", "ids", "word_lengths", "words"]
+    theirs = ["print", "places", "id_lengths", "word_ids"]
     none = lambda df, cols: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
     both = blocks.select("block_id", *mine, *none(replies, theirs)).unionByName(replies.select("block_id", *none(blocks, mine), *theirs))
 
     def join(table: pa.Table) -> pa.Table:
         got = table.to_pylist()
-        block = next(r for r in got if r["doc_ids"] is not None)
-        ids = word_ids([r for r in got if r["doc_ids"] is None], block["n_words"])
-        return finish(C.unpack(block["doc_ids"], np.int64), C.unpack(block["lengths"], np.uint32).tolist(), C.unpack(block["ids"], np.uint32).tolist(), ids)
+        out = []
+        for block in (r for r in got if r["doc_ids"] is not None):
+            words, own = C.unpack_words(block["word_lengths"], block["words"]), fingerprint(block)
+            answers = [r for r in got if r["doc_ids"] is None and r["print"] == own]
+            if words and not answers:
+                ids = [_encoding(path, pattern)._encode_single_piece(w) for w in words]
+            else:
+                ids = word_ids(answers, len(words))
+            out.append(finish(C.unpack(block["doc_ids"], np.int64), C.unpack(block["lengths"], np.uint32).tolist(), C.unpack(block["ids"], np.uint32).tolist(), ids))
+        return pa.concat_tables(out) if out else arrow.empty_table()
 
     return both.groupBy("block_id").applyInArrow(join, schema)
 
@@ -137,7 +152,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             at += n
         return pa.table([pa.array(doc_ids), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return per_document(docs, path, pattern, finish, "doc_id long, ids array<int>", key, text)
+    return per_document(docs, path, pattern, finish, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), key, text)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -168,4 +183,4 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             at += m
         return pa.table([pa.array(doc_ids), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return per_document(docs, path, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", key, text)
+    return per_document(docs, path, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]), key, text)
