@@ -11,13 +11,14 @@ even in a segment which holds two shingles or more.  A document for which its ow
 two linked documents share, so the few pairs that both lack the guarantee meet there.
 
 A document enters its own band and those below that hold sizes of at least 4/5 of its own.  Blocks of documents
-send (key, document) to buckets of keys, copies of one set once a block.  A bucket emits all pairs of a
-small group; of a group of more than SMALL, the star around its first member, and its members.  Pairs
-pass the size bound and the Hamming bound of a bit parity sketch, then the exact similarity of the texts.
-Links give components (hash-min with star contraction); then groups whose members are in several
-components are looked at again, and their pairs across components are verified too.  So each pair that shares a key
-is verified or lies within one component already: no link between components is lost, and a group of
-m copies costs about m pairs.
+send (key, document) to buckets of keys, copies of one set once a block.  Links are only needed up to the
+components they make, so a group of m documents is not turned into its pairs.  A bucket joins its groups
+to local clusters and emits for each member the pair with the cluster's first member, and the pairs of
+neighbours in each group.  Pairs pass the size bound and the Hamming bound of a bit parity sketch, then the exact
+similarity of the texts: first members, then those neighbours which are in different components by
+then.  At last the keys are sent once more with the components: in a group with several components each pair
+across them is held against the bounds (in squares of CHUNK x CHUNK members) and verified.  So every pair
+that shares a key is verified or lies within one component already: no link between components is lost.
 
 Defined results: letters A-Z count as lower case; a document of fewer than n words is one shingle; a null or empty
 text or one without words has no shingles and is linked with nothing; rows with a null id are left out; of
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import common as C
 
-SMALL = 4
+CHUNK = 512
 SKETCH = 1024  # bits
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -152,65 +153,121 @@ def _refs(block_id: int, places: np.ndarray) -> np.ndarray:
     return ((np.int64(block_id >> 32) << np.int64(40)) | (np.int64(block_id & 0xFFFF) << np.int64(24))) | places.astype(np.int64)
 
 
-_POSTED = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("keys", pa.binary()), ("members", pa.binary())])
+_POSTED = pa.schema([("bucket", pa.int32()), ("block_id", pa.int64()), ("keys", pa.binary()), ("members", pa.binary()), ("labels", pa.binary())])
+POSTED = "bucket int, block_id long, keys binary, members binary, labels binary"
 
 
 def _post(n: int):
+    """Keys by bucket; with ``known`` (place, label) of some documents, theirs only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spare = np.uint64(max(0, 24 - (n - 1).bit_length()))
 
         def items():
             for b in batches:
                 for r in b.to_pylist():
-                    keys, who = C.unpack(r["keys"], np.uint64), C.unpack(r["members"], np.uint32)
+                    keys, who, label = C.unpack(r["keys"], np.uint64), C.unpack(r["members"], np.uint32), None
+                    if r["known"] is not None:
+                        table = dict((x["place"], x["label"]) for x in r["known"])
+                        places = np.array(sorted(table), np.uint32)
+                        ok = np.isin(who, places)
+                        keys, who = keys[ok], who[ok]
+                        label = np.array([table[x] for x in places.tolist()], np.int64)[np.searchsorted(places, who)]
                     at = B.split(((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64), n)
                     for i in np.flatnonzero(np.diff(at)).tolist():
                         s = slice(at[i], at[i + 1])
-                        yield i, r["block_id"], C.pack_sorted(keys[s] >> spare), C.pack(who[s], 1)
+                        yield i, r["block_id"], C.pack_sorted(keys[s] >> spare), C.pack(who[s], 1), None if label is None else C.pack(label[s], 1)
 
         yield from C.emit(items(), _POSTED)
 
     return run
 
 
+def _groups(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Keys, refs and labels of one bucket in order of (key, ref), of keys that several rows share; the
+    first place and the size of each group."""
+    keys, refs, labels = [], [], []
+    for i in range(table.num_rows):
+        keys.append(C.unpack_sorted(table.column("keys")[i].as_py()))
+        refs.append(_refs(table.column("block_id")[i].as_py(), C.unpack(table.column("members")[i].as_py(), np.uint32)))
+        blob = table.column("labels")[i].as_py()
+        labels.append(refs[-1] if blob is None else C.unpack(blob, np.int64))
+    k, r, x = np.concatenate(keys), np.concatenate(refs), np.concatenate(labels)
+    del keys, refs, labels
+    order = np.argsort(k)
+    k, r, x = k[order], r[order], x[order]
+    same = k[1:] == k[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    k, r, x = k[shared], r[shared], x[shared]
+    order = np.lexsort((r, k))
+    k, r, x = k[order], r[order], x[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    return k, r, x, first, np.diff(first, append=len(k))
+
+
 _MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Pairs (kind 0) and members of large groups (kind 1: group, member) of one bucket."""
-    keys, refs = [], []
-    for i in range(table.num_rows):
-        k = C.unpack_sorted(table.column("keys")[i].as_py())
-        keys.append(k)
-        refs.append(_refs(table.column("block_id")[i].as_py(), C.unpack(table.column("members")[i].as_py(), np.uint32)))
-    k, r = np.concatenate(keys), np.concatenate(refs)
-    del keys, refs
-    order = np.lexsort((r, k))
-    k, r = k[order], r[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    size = np.diff(first, append=len(k))
+    """Pairs of one bucket: (first member of a local cluster, member), kind 0, and neighbours, kind 1."""
+    k, r, _, first, size = _groups(table)
+    if not len(k):
+        return _MET.empty_table()
+    members, at = C.distinct(r)
+    by_member = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.diff(at[by_member], prepend=-1))
+    label = np.arange(len(members))
+    while True:
+        low = np.minimum.reduceat(np.repeat(np.minimum.reduceat(label[at], first), size)[by_member], starts)
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            break
+        label = low
+    star = np.stack([members[label], members], 1)
+    inner = np.ones(len(r), bool)
+    inner[first] = False
+    i = np.flatnonzero(inner)
+    near = np.stack([r[i - 1], r[i]], 1)
+    star, near = (np.unique(p[p[:, 0] != p[:, 1]], axis=0) for p in (star, near))
+    return pa.Table.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), [len(star), len(near)])), *(pa.array(np.concatenate([star[:, c], near[:, c]])) for c in (0, 1))], schema=_MET)
+
+
+_OPEN = pa.schema([("g", pa.int64()), ("m", pa.int64()), ("ref", pa.int64()), ("label", pa.int64())])
+
+
+def _open(table: pa.Table) -> pa.Table:
+    """Members of groups with several labels, groups of the same members once."""
+    k, r, x, first, size = _groups(table)
+    if not len(k):
+        return _OPEN.empty_table()
+    mixed = np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
+    g = C.mix64(np.add.reduceat(C.mix64(r.view(np.uint64) + _SALT), first) ^ (size.astype(np.uint64) * _SALT)).view(np.int64)
+    _, once = np.unique(g[mixed], return_index=True)
+    kept = np.zeros(len(first), bool)
+    kept[np.flatnonzero(mixed)[once]] = True
+    rows = np.repeat(kept, size)
+    return pa.Table.from_arrays([pa.array(np.repeat(g, size)[rows]), pa.array(np.repeat(size, size)[rows]), pa.array(r[rows]), pa.array(x[rows])], schema=_OPEN)
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _cross(table: pa.Table) -> pa.Table:
+    """Pairs across labels of one square of a group that the bounds allow."""
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+    node, c, n, x = (table.column(y).to_numpy() for y in ("node", "c", "n", "label"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+    left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for m in range(2, SMALL + 1):
-        at = first[size == m]
-        for i in range(m):
-            for j in range(i + 1, m):
-                a.append(r[at + i])
-                b.append(r[at + j])
-    large = size > SMALL
-    inside = np.repeat(large, size)
-    a.append(np.repeat(r[first], size)[inside])
-    b.append(r[inside])
+    for p in left.tolist():
+        near = right[x[right] != x[p]]
+        near = near[(5 * np.minimum(n[near], n[p]) >= 4 * np.maximum(n[near], n[p]))]
+        near = near[9 * np.bitwise_count(sketch[near] ^ sketch[p]).sum(1, dtype=np.int64) <= n[near] + n[p]]
+        a.append(np.full(len(near), node[p]))
+        b.append(node[near])
     a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-    # groups of the same members are one
-    mixed = C.mix64(r.view(np.uint64) + _SALT)
-    who = np.add.reduceat(mixed, first) if len(first) else mixed
-    gid = (who ^ (size.astype(np.uint64) * _SALT)).view(np.int64)
-    _, once = np.unique(gid[large], return_index=True)
-    kept = np.zeros(len(first), bool)
-    kept[np.flatnonzero(large)[once]] = True
-    member = np.repeat(kept, size)
-    return pa.Table.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), [len(pairs), int(member.sum())])), pa.array(np.concatenate([pairs[:, 0], np.repeat(gid, size)[member]])), pa.array(np.concatenate([pairs[:, 1], r[member]]))], schema=_MET)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
 
 
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,9 +362,12 @@ def join(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", b
     rows = signed.select("block_id", "doc_ids", "sizes", "nodes", "sketches").mapInArrow(_rows, "doc_id long, ref long, node long, n_shingles long, sketch binary")
     # one row for each distinct set
     info = C.checkpoint(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("ref").alias("ref"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
-    met = C.checkpoint(signed.select("block_id", "keys", "members").mapInArrow(_post(B.buckets(total, 2_000_000)), "bucket int, block_id long, keys binary, members binary").groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long"))
+    n_buckets = B.buckets(total, 2_000_000)
+    nothing = F.lit(None).cast("array<struct<place:int,label:bigint>>").alias("known")
+    met = C.checkpoint(signed.select("block_id", "keys", "members", nothing).mapInArrow(_post(n_buckets), POSTED).groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long"))
     C.release(spark)
     node_of = rows.where("n_shingles > 0").select("ref", "node")
+    block_of = F.shiftleft(F.shiftright("ref", 40), 32) + F.shiftright("ref", 24).bitwiseAND(F.lit(0xFFFF))
 
     def named(df: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
@@ -319,8 +379,7 @@ def join(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", b
         side = lambda c: info.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
         pairs = C.checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_may_link, "a long, b long"))
         needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(info.select("node", "ref"), "node")
-        block = F.shiftleft(F.shiftright("ref", 40), 32) + F.shiftright("ref", 24).bitwiseAND(F.lit(0xFFFF))
-        wanted = needed.groupBy(block.alias("block_id")).agg(F.collect_list(F.struct("ref", "node")).alias("wanted"))  # at most a block's documents
+        wanted = needed.groupBy(block_of.alias("block_id")).agg(F.collect_list(F.struct("ref", "node")).alias("wanted"))  # at most a block's documents
         words = C.checkpoint(blocks.join(wanted, "block_id").mapInArrow(_texts, "node long, words binary"))
         got = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("t_a")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("t_b")), "b")
         return C.checkpoint(got.select("a", "b", "t_a", "t_b").mapInArrow(_verify(n), "a long, b long"))
@@ -329,22 +388,33 @@ def join(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", b
         side = lambda c: info.select(F.col("node").alias(c), F.col("id").alias(f"id_{c}"))
         return links.join(side("a"), "a").join(side("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
-    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(ordered(named(met.where("kind = 0").select("a", "b").distinct(), "a", "b")))
+    def labels(links: DataFrame) -> DataFrame:
+        """node, label: the least id of the component."""
+        return C.checkpoint(info.select("node", "id").join(components(by_id(links)), "id", "left").select("node", F.coalesce("component", "id").alias("label")))
+
+    def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        side = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where("l_a <> l_b").select("a", "b")
+
+    pairs = C.checkpoint(named(met.groupBy("a", "b").agg(F.min("kind").alias("kind")), "a", "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("kind").alias("kind")))
+    links = verified(pairs.where("kind = 0").select("a", "b"))
+    links = links.unionByName(verified(across(pairs.where("kind = 1"), labels(links))))
+    C.release(spark)
+    found = labels(links)
+    # the keys of all documents that met another one, with their components
+    active = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named_rows = node_of.join(active, "node", "left_semi").join(found, "node")
+    known = named_rows.groupBy(block_of.alias("block_id")).agg(F.collect_list(F.struct(F.col("ref").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("place"), "label")).alias("known"))  # at most a block's documents
+    again = signed.select("block_id", "keys", "members").join(known, "block_id").mapInArrow(_post(n_buckets), POSTED)
+    opened = C.checkpoint(again.groupBy("bucket").applyInArrow(_open, "g long, m long, ref long, label long"))
     C.release(spark)
-    found = components(by_id(links))
-    # groups across components
-    members = named(met.where("kind = 1").select(F.col("a").alias("g"), "b").distinct(), "b").distinct()
-    labelled = members.join(info.select(F.col("node").alias("b"), "id"), "b").join(found, "id", "left").select("g", "b", F.coalesce("component", "id").alias("c"))
-    labelled = C.checkpoint(labelled)
-    mixed = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-    open_groups = C.checkpoint(labelled.join(mixed, "g"))
-    if not open_groups.isEmpty():
-        x = open_groups.select("g", F.col("b").alias("a"), F.col("c").alias("c_a"))
-        y = open_groups.select("g", "b", F.col("c").alias("c_b"))
-        links = links.unionByName(verified(ordered(x.join(y, "g").where("c_a < c_b").select("a", "b"))))
-        found = components(by_id(links))
-    ids = info.select("node", "id").join(found, "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))
+    if not opened.isEmpty():
+        members = opened.join(node_of, "ref").select("g", "m", "node", "label").distinct().join(info.select("node", "n", "sketch"), "node")
+        squares = members.withColumn("k", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("c", F.pmod(F.hash("node"), F.col("k")))
+        squares = squares.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("g", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "n", "label", "sketch")
+        links = links.unionByName(verified(squares.groupBy("g", "i", "j").applyInArrow(_cross, "a long, b long").distinct()))
+        found = labels(links)
+    ids = found.select("node", F.col("label").alias("component_id"))
     out = rows.drop("sketch", "ref").join(ids, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
