@@ -34,6 +34,7 @@ from . import common as C
 
 WINDOW, STRIDE = 32, 24
 TRAIN_DOCS, TRAIN_WINDOWS = 2000, 48
+STEPS = 48  # of an epoch, whatever the sample's size
 D_WORD, D_CHAR, H, D_ATT = 8, 8, 8, 8
 BUCKETS = 1 << 16  # of character n-grams
 GRAMS = (3, 4, 5, 6)
@@ -264,10 +265,11 @@ def train(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 7, batch: int
         balance = weight[label == 0].sum() / max(weight[label > 0].sum(), 1)
         weight[label > 0] *= np.float32(min(balance, 10) / 2)
         chosen = np.flatnonzero(weight)
-        r.shuffle(chosen)
-        chosen = chosen[: 48 * batch]
-        for lo in range(0, len(chosen), batch):
-            rows = chosen[lo : lo + batch]
+        size_of = min(batch, max(64, len(chosen) // STEPS))
+        deals = [r.permutation(chosen) for _ in range(-(-STEPS * size_of // len(chosen)))]
+        chosen = np.concatenate(deals)[: STEPS * size_of]
+        for lo in range(0, len(chosen), size_of):
+            rows = chosen[lo : lo + size_of]
             used, at = np.unique(windows[rows], return_inverse=True)
             at = at.reshape(len(rows), WINDOW)
             if used[0] < 0:
