@@ -48,7 +48,7 @@ def line_sections(raw: bytes) -> np.ndarray:
 def attribute(ends: np.ndarray, starts: np.ndarray, size: int, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of sections that begin at starts (bytes, ascending from 0) of a text of size bytes whose
     tokens end at ends; and of each section, the tokens that begin there and cross its end."""
-    begins = np.concatenate([[0], ends[:-1]])
+    begins = np.concatenate([[0], ends])[:-1]
     a, b = (np.searchsorted(starts, x, "right") - 1 for x in (begins, ends - 1))
     n = len(starts)
     cross = np.bincount(a[a < b], minlength=n)

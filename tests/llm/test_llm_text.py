@@ -133,7 +133,7 @@ def brute_quality(t):
 
 
 def test_quality(spark, docs, empty):
-    more = [(20, "a b c d e\nx # y | z\na b c d e\nx # y | z\n" * 3), (21, "p q r s t u v w x y"), (22, "of of the the of of the the a a b b")]
+    more = [(20, "a b c d e\nx # y | z\na b c d e\nx # y | z\n" * 3), (21, "pp qq rr ss tt uu vv ww xx yy"), (22, "of of the the of of the the a a b b")]
     d = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     rows = quality.ledger(d)
     got = {r["doc_id"]: r for r in quality.apply_policy(rows).collect()}
