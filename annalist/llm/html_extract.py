@@ -5,8 +5,8 @@ vanish.  The distribution is that of text lengths summed over a sliding window o
 text outside links counts: at a surge, where the sum rises over the threshold, the main text begins, and
 at the next dive, where it falls to (nearly) nothing, it ends.  Lines of boilerplate - navigation,
 headers, footers, sidebars, notices, adverts, forms, comments, told by element, role or class - have no
-length.  Where the page marks its article, the distribution is that of the article's lines, and
-every line of it which isn't boilerplate is kept; the surge and dive points serve pages without marks.
+length.  Where the page marks its article, only the article's lines have one, and any of them is a surge;
+else lines that are links for the most part have none, and a sum must rise over SURGE characters.
 
 Defined results: a null or empty page gives an empty text; character references are decoded (also those
 without a semicolon, as browsers do); white space inside a block becomes one space; blocks are
@@ -149,22 +149,19 @@ def extract(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
         if s:
             found.append((s, x))
     marked = any(x.article and not x.boiler for _, x in found)
-    length = [0 if x.boiler or (marked and not x.article) or 2 * x.linked > len(s) else len(s) for s, x in found]
-    if marked:
-        return "\n".join(s for s, x in found if x.article and not x.boiler)
+    main = [not x.boiler and (x.article if marked else 2 * x.linked <= len(s)) for s, x in found]
+    length = [len(s) if m else 0 for (s, _), m in zip(found, main, strict=True)]
     sums = [sum(length[i : i + window]) for i in range(len(length))]
-    keep, i = [False] * len(found), 0
+    least = 0 if marked or max(sums, default=0) <= surge else surge  # short pages never rise over it
+    keep, i = [], 0
     while i < len(sums):
-        if sums[i] > surge and length[i]:
-            end = i
-            while end < len(sums) and sums[end]:  # to the dive
-                end += 1
-            keep[i:end] = [True] * (end - i)
-            i = end
+        if sums[i] > least and length[i]:  # the surge
+            while i < len(sums) and sums[i]:  # up to the dive
+                if main[i] or not (marked or found[i][1].boiler):
+                    keep.append(found[i][0])
+                i += 1
         i += 1
-    if not any(keep):  # short pages never surge
-        keep = [n > 0 for n in length]
-    return "\n".join(s for (s, x), k in zip(found, keep, strict=True) if k and not x.boiler)
+    return "\n".join(keep)
 
 
 def extract_pages(pages: DataFrame, html: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
