@@ -70,14 +70,13 @@ class Grams:
         self.count = np.bincount(self.owner, minlength=len(words))
         self.first = np.cumsum(self.count) - self.count
 
-    def mean(self, table: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Mean embeddings of words lo..hi-1."""
-        a, b = (self.first[lo], self.first[hi - 1] + self.count[hi - 1]) if hi > lo else (0, 0)
-        out = np.zeros((hi - lo, table.shape[1]), np.float32)
-        some = self.count[lo:hi] > 0
-        if b > a:
-            out[some] = np.add.reduceat(table[self.bucket[a:b]], (self.first[lo:hi] - a)[some], axis=0)
-        return out / np.maximum(self.count[lo:hi, None], 1)
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        """Mean embeddings of the words."""
+        out = np.zeros((len(self.count), table.shape[1]), np.float32)
+        some = self.count > 0
+        if len(self.bucket):
+            out[some] = np.add.reduceat(table[self.bucket], self.first[some], axis=0)
+        return out / np.maximum(self.count[:, None], 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -144,12 +143,12 @@ class Model:
             keep |= {"kf": kf, "kb": kb, "h": h, "a": a, "weight": weight, "pooled": pooled}
         return y
 
-    def inputs(self, ids: np.ndarray, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, words: list[bytes], size: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """Projected inputs of distinct words from both sides."""
-        f, b = [], []
-        for lo in range(0, len(ids), 20_000):
-            hi = min(len(ids), lo + 20_000)
-            x = np.concatenate([self.p["word"][ids[lo:hi]], grams.mean(self.p["char"], lo, hi)], 1)
+        f, b = [np.empty((0, 3 * H), np.float32)], [np.empty((0, 3 * H), np.float32)]
+        for lo in range(0, len(words), size):
+            some = words[lo : lo + size]
+            x = np.concatenate([self.p["word"][self.lookup(some)], Grams(some).mean(self.p["char"])], 1)
             f.append(x @ self.p["xf"] + self.p["cf"])
             b.append(x @ self.p["xb"] + self.p["cb"])
         return np.concatenate(f), np.concatenate(b)
@@ -167,7 +166,7 @@ class Model:
         p, mask = self.p, places.T >= 0
         at = np.ascontiguousarray(places.T)
         known = np.where(drop, 0, ids)
-        x = np.concatenate([p["word"][known], grams.mean(p["char"], 0, len(ids))], 1)
+        x = np.concatenate([p["word"][known], grams.mean(p["char"])], 1)
         k: dict = {}
         y = self.forward((x @ p["xf"] + p["cf"])[at], (x @ p["xb"] + p["cb"])[at], mask, k)
         loss = float(-(weight * (target * np.log(y + 1e-7) + (1 - target) * np.log(1 - y + 1e-7))).sum() / weight.sum())
@@ -242,7 +241,7 @@ def train(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 7, batch: int
     model = Model(sorted(w for w, n in seen.items() if n >= 3), seed)
     words = sorted(seen)
     index = {w: i for i, w in enumerate(words)}
-    ids, grams = model.lookup(words), Grams(words)
+    ids = model.lookup(words)
     windows = np.full((sum(len(ws) for _, ws in bags), WINDOW), -1, np.int64)
     bag, label, i = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.float32), 0
     for b, (y, ws) in enumerate(bags):
@@ -254,7 +253,7 @@ def train(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 7, batch: int
     for epoch in range(epochs):
         weight = np.ones(len(windows), np.float32)
         if epoch >= 2:  # the windows that make a document toxic
-            xf, xb = model.inputs(ids, grams)
+            xf, xb = model.inputs(words)
             y = model.scores(windows, xf, xb)
             rank = np.zeros(len(windows), np.int64)
             order = np.lexsort((-y, bag))
@@ -362,7 +361,7 @@ def _best(m: Model, raw: list[bytes]) -> np.ndarray:
     if not len(ids):
         return out
     distinct = list(word_of)
-    xf, xb = m.inputs(m.lookup(distinct), Grams(distinct))
+    xf, xb = m.inputs(distinct)
     at = place[ids]
     count = np.bincount(doc, minlength=len(raw))
     first = np.cumsum(count) - count
