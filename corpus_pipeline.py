@@ -14,12 +14,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, decontaminate, ngram_join, quality, toxicity
+from annalist.llm import bpe, common, decontaminate, ngram_join, quality, toxicity
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the current policy keeps.  Measured in the row itself, without a join."""
-    rows = quality.apply_policy(quality.measured(docs), quality.CURRENT)
+    """Rows that the current policy keeps.  Measured in the row itself, without a join, and stored before they
+    are chosen: the optimizer would copy the measurements into a filter that it can push down."""
+    rows = common.checkpoint(quality.apply_policy(quality.measured(docs), quality.CURRENT))
     return rows.where("kept").select(*docs.columns)
 
 
@@ -39,7 +40,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rows without a window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hits = decontaminate.Index(docs, decontaminate.windows(items)).exact()
-    return hits.where(F.size("_hits") == 0).select(*docs.columns)
+    rows = common.checkpoint(hits.select(*docs.columns, (F.size("_hits") == 0).alias("_clean")))  # as above
+    return rows.where("_clean").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
