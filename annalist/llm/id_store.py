@@ -13,8 +13,10 @@ SAMPLE_BYTES of each).  Documents are compressed one by one, so a short one is r
 
 Texts are dealt by ranges of (id, hash of text) and sorted within a range; equal ids with different
 texts are in hash order.  Ranges come from a sample of the rows, so a hot source is no hot range; shards
-are bounded by SHARD_BYTES.  For the tokenizers meant here white space never joins two tokens, so each
-distinct chunk between white space is encoded once by the library and remembered (at most CACHE chunks).
+are bounded by SHARD_BYTES.  For the tokenizers meant here (lower case, white space dropped, words apart from
+punctuation) white space never joins two tokens, nor does the end of a word before punctuation, so each distinct chunk
+between white space is encoded once by the library, without case and punctuation after it where it is ASCII, and
+remembered by the worker: at most CACHE pieces, of which the older half goes when there are more.
 
 Defined results: a null or empty text is its end id alone; rows with a null id are left out; repeated
 rows are stored row by row; an empty table is a store without shards.
@@ -24,11 +26,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
 import tempfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +48,8 @@ from . import common as C
 
 SHARD_BYTES = 4 << 20
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
-CACHE = 250_000
+CACHE, CHUNKS = 1_000_000, 200_000
+_AFTER = b",.!?;:"
 LEVEL = 3
 _SHARD = pa.schema([("first_doc", pa.int64()), ("last_doc", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("payload", pa.binary())])
 SHARD = "first_doc long, last_doc long, part int, seq int, n_docs long, n_tokens long, dict_hash string, doc_ids binary, ends binary, payload binary"
@@ -57,32 +64,107 @@ def _tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def _cache(path: str, dtype: str) -> dict[bytes, bytes]:
-    return {}
+def _caches(path: str, dtype: str) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
+    """Serialized ids of pieces, and of chunks as they stand in texts."""
+    return {}, {}
+
+
+def _byte_letters() -> list[str]:
+    """The letters that byte-level vocabularies write bytes as: printable ones as they are, the others as
+    the letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+_BYTE = _byte_letters()
+
+
+def _word(piece: bytes) -> str | None:
+    """A piece as its model reads it, if it is one word of lower-case letters, which a normalizer (NFC, lower
+    case) and a splitter (runs of letters) leave alone."""
+    if piece.isascii():
+        return piece.decode() if piece.isalpha() else None
+    s = piece.decode("utf-8", "replace")
+    if s.isalpha() and s == s.lower() and is_normalized("NFC", s):
+        return "".join([_BYTE[b] for b in piece])
+    return None
+
+
+@lru_cache(maxsize=2)
+def _plain_model(path: str):
+    """The tokenizer's model, where it gives words (see _word) the ids that the whole tokenizer does."""
+    tokenizer = _tokenizer(path)
+    probes = ["a", "the", "of", "tion", "zzyzx", "internationalization", "q" * 70, "abcdefghijklmnopqrstuvwxyz", "été", "größe", "señal", "ça", "слово", "漢字"]
+    same = all([t.id for t in tokenizer.model.tokenize(_word(w.encode()))] == tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
+    return tokenizer.model if same else None
+
+
+def _pieces(chunk: bytes) -> tuple[bytes, bytes]:
+    """A chunk as a piece and punctuation after it; case is dropped where that is safe."""
+    if chunk.isascii():
+        low = chunk.lower()
+        word = low.rstrip(_AFTER)
+        if word.isalpha():
+            return word, low[len(word) :]
+    else:
+        word = chunk.rstrip(_AFTER)
+        s = word.decode("utf-8", "replace")
+        if s.isalpha() and is_normalized("NFC", s) and "\u03a3" not in s:  # its lower case depends on its place
+            low = s.lower()
+            if low.isalpha() and is_normalized("NFC", low):
+                return low.encode(), chunk[len(word) :]
+    return chunk, b""
 
 
 class Encoder:
-    """Texts (UTF-8) to serialized ids, by a tokenizer that drops white space and never joins across it."""
+    """Texts (UTF-8) to serialized ids, by a tokenizer that drops case and white space and never joins
+    across white space or from a word to punctuation."""
 
     def __init__(self, path: str, id_bytes: int, end_id: int):
         self.path, self.dtype = path, f"<u{id_bytes}"
         self.end = np.array([end_id], self.dtype).tobytes()
 
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Make the ids of chunks known."""
+        pieces, known = _caches(self.path, self.dtype)
+        split = {c: _pieces(c) for c in chunks}
+        wanted = set(chain.from_iterable(split.values())) - {b""}
+        if len(pieces) + len(wanted) > CACHE:
+            for p in list(islice(pieces, len(pieces) // 2)):
+                del pieces[p]
+        new = list(wanted - pieces.keys())
+        code = {"<u2": "H", "<u4": "I"}[self.dtype]
+        if plain := _plain_model(self.path):
+            rest = []
+            for p in new:
+                if (w := _word(p)) is not None:
+                    ids = array(code, [t.id for t in plain.tokenize(w)])
+                    if sys.byteorder == "big":
+                        ids.byteswap()
+                    pieces[p] = ids.tobytes()
+                else:
+                    rest.append(p)
+            new = rest
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            for c, e in zip(some, _tokenizer(self.path).encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False), strict=True):
+                ids = array(code, e.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                pieces[c] = ids.tobytes()
+        for c, (a, b) in split.items():
+            known[c] = pieces[a] + pieces[b] if b else pieces[a]
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        known = _cache(self.path, self.dtype)
-        out = []
-        for raw in texts:
-            chunks = raw.split()
-            new = list({c for c in chunks if c not in known})
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(chunks))
-            for lo in range(0, len(new), 4096):
-                some = new[lo : lo + 4096]
-                for c, e in zip(some, _tokenizer(self.path).encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, self.dtype).tobytes()
-            out.append(b"".join([*map(known.__getitem__, chunks), self.end]))
-        return out
+        known = _caches(self.path, self.dtype)[1]
+        split = [raw.split() for raw in texts]
+        new = set(chain.from_iterable(split)) - known.keys()
+        if len(known) + len(new) > CHUNKS:
+            known.clear()
+            new = set(chain.from_iterable(split))
+        self._learn(new)
+        return [b"".join([*map(known.__getitem__, chunks), self.end]) for chunks in split]
 
 
 def id_bytes(path: str) -> int:
