@@ -53,9 +53,11 @@ class Index:
 
     def __init__(self, docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text"):
         self.docs, self.key, self.text = docs, key, text
-        self.tests = checkpoint(tests)
+        # windows by number: their texts needn't travel
+        numbered = checkpoint(tests.select("window", "w").distinct().withColumn("id", F.monotonically_increasing_id()))
+        self.tests = checkpoint(tests.select("item", "window").join(numbered, "window").select("item", F.col("id").alias("window"), "w"))
         self.small = self.tests.count() <= BROADCAST
-        self.distinct = self.tests.select("window", "w").distinct()
+        self.distinct = numbered.select(F.col("id").alias("window"), "w")
         terms = self.tests.select(F.explode("w").alias("term")).distinct()
         self.counts = checkpoint(docs.select(F.explode(words(text)).alias("term")).join(self.few(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("cf")))
         by_rarity = Window.partitionBy("window").orderBy("cf", "term", "offset")
@@ -88,7 +90,7 @@ class Index:
 
     def exact(self) -> DataFrame:
         """The rows of docs with _w (words) and _hits (array of start, w, items) of exact phrases."""
-        items = self.tests.groupBy("window", "w").agg(F.collect_set("item").alias("items"))
+        items = self.tests.groupBy("window").agg(F.first("w").alias("w"), F.collect_set("item").alias("items"))
         found = self.candidates().distinct().join(self.few(items), "window")
         mine = checkpoint(found.groupBy("doc").agg(F.collect_list(F.struct("start", "w", "items")).alias("_c")))
         release(self.docs.sparkSession)
