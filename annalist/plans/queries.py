@@ -129,6 +129,22 @@ def bm25(spark, d):
     return ranking.bm25(S.table(spark, d, "documents").where("lang = 'en'"), S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
 
 
+def _asked(spark, d):
+    return S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query(None)
+def keyword_overlap_all_languages(spark, d):
+    """keyword_overlap over the whole table: its SQL, and so the query of that name, ranks English documents only."""
+    return ranking.keyword_overlap(S.table(spark, d, "documents"), _asked(spark, d), 10)
+
+
+@query(None)
+def bm25_all_languages(spark, d):
+    """bm25 over the whole table, with N, df and the mean length of all languages."""
+    return ranking.bm25(S.table(spark, d, "documents"), _asked(spark, d), 10)
+
+
 @query("""SELECT query_id, doc_id, round(round(score, 6), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE rank <= 10""")
 def cosine_top_k(spark, d):

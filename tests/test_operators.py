@@ -1,4 +1,7 @@
 import json
+import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +24,36 @@ def test_bm25_prefers_rare_terms(spark):
     assert [r["doc_id"] for r in ranking.bm25(d, q).orderBy("rank").collect()] == ["a", "b"]
 
 
+def test_ranking_reads_all_languages(spark):
+    from annalist.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    bag = lambda t: Counter(re.findall("[a-z0-9]+", (t or "").lower()))
+    docs = {i: bag(r["text"]) for i, r in rows.items()}
+    asked = {r["item_id"]: bag(r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    size = {i: b.total() for i, b in docs.items()}
+    mean = sum(size.values()) / len(size)
+    df = Counter(w for b in docs.values() for w in b)
+    idf = {w: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    weigh = lambda w, n, length: idf[w] * n / (n + 0.9 * (1 - 0.4 + 0.4 * length / mean))
+    score = {
+        "keyword_overlap_all_languages": lambda q, b, length: float(len(q.keys() & b.keys())),
+        "bm25_all_languages": lambda q, b, length: sum(weigh(w, b[w], length) * weigh(w, q[w], q.total()) for w in q.keys() & b.keys()),
+    }
+    for name, f in score.items():
+        got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in QUERIES[name](spark, d).collect()}
+        n = 0
+        for q, words in asked.items():
+            scores = {i: f(words, b, size[i]) for i, b in docs.items() if words.keys() & b.keys()}
+            best = sorted(scores.values(), reverse=True)[:10]
+            n += len(best)
+            for k, x in enumerate(best, 1):
+                doc, s = got[q, k]
+                assert s == pytest.approx(x, abs=2e-6) and s == pytest.approx(scores[doc], abs=2e-6)
+        assert len(got) == n and {rows[i]["lang"] for i, _ in got.values()} > {"en"}
+
+
 def test_cosine(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "doc_id long, embedding array<float>")
     q = e.where("doc_id = 1").withColumnRenamed("doc_id", "query_id")
