@@ -1,7 +1,8 @@
 """Judges: verdicts on (query, document) and (query, answer) rows, as JSON, kept in a table.
 
 A judge is any object with ``answer(kind, row) -> str`` (JSON in the shape of CONTRACTS[kind]); it runs in
-``mapInArrow`` batches.  Verdicts are keyed by (query_id, doc_id, judge, kind, version): ``resume`` asks only for
+``mapInArrow`` batches.  One that can't take long texts has ``limits``: the characters it gets of a column, by
+the column's name (the reference's prompts: 2,000 of doc, 8,000 of context, all of answer).  Verdicts are keyed by (query_id, doc_id, judge, kind, version): ``resume`` asks only for
 those that a table doesn't hold yet (an anti-join), since tasks may run twice and calls may cost money.
 ``RuleJudge`` answers by sets of years, deterministically.
 """
@@ -124,12 +125,13 @@ def get_judge(name: str | Judge, **options) -> Judge:
     return JUDGES[name.lower()](**options)
 
 
-def judge(rows: DataFrame, kind: str, by: str | Judge = "rules", keys: tuple[str, ...] = ("query_id", "doc_id"), version: str = "1", limit: int = 2000) -> DataFrame:
-    """keys, judge, kind, version, payload (JSON, null after an error), error.  Texts are cut to limit characters
-    before they leave the JVM."""
+def judge(rows: DataFrame, kind: str, by: str | Judge = "rules", keys: tuple[str, ...] = ("query_id", "doc_id"), version: str = "1") -> DataFrame:
+    """keys, judge, kind, version, payload (JSON, null after an error), error.  Judges get whole texts, but for the
+    columns in their ``limits``, which are cut before they leave the JVM."""
     ship(rows.sparkSession)
     who = get_judge(by)
-    cut = rows.select(*(F.substring(c, 1, limit).alias(c) if t == "string" and c not in keys else F.col(c) for c, t in rows.dtypes))
+    limits = getattr(who, "limits", {})
+    cut = rows.select(*(F.substring(c, 1, limits[c]).alias(c) if t == "string" and c in limits and c not in keys else F.col(c) for c, t in rows.dtypes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

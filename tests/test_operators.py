@@ -77,6 +77,34 @@ def test_judge_contract_and_resume(spark):
         judge.get_judge("nobody")
 
 
+def test_judges_get_whole_texts(spark):
+    long = "1999 " * 1000
+    rows = spark.createDataFrame([("q", "a", [2001], long + "2001", long + "2001", long + "2001")], "query_id string, doc_id string, qft array<int>, doc string, answer string, context string")
+    value = lambda j, kind: judge.parsed(j, kind).first()[judge.CONTRACTS[kind].split()[0]]
+    none = judge.judge(rows, "precision").where("false")
+    for kind, x in {"precision": 1, "alignment": 1.0, "faithfulness": 1.0}.items():
+        assert value(judge.judge(rows, kind), kind) == value(judge.resume(rows, none, kind), kind) == x
+    assert value(judge.judge(rows.withColumn("context", F.lit("1999")), "faithfulness"), "faithfulness") == 0.5
+
+    class Short(judge.RuleJudge):
+        name = "short"
+        limits = {"doc": 2000, "context": 8000}
+
+    for j in (judge.judge, lambda rows, kind, by: judge.resume(rows, none, kind, by)):
+        assert value(j(rows, "precision", Short()), "precision") == 0
+        assert value(j(rows, "alignment", Short()), "alignment") == value(j(rows, "faithfulness", Short()), "faithfulness") == 1.0
+
+
+def test_hot_answers_are_judged_whole(spark, tmp_path):
+    from annalist.plans.queries import QUERIES
+
+    year = F.when(F.col("id") < 10, 1998).otherwise(1995)  # the least prices, so the last years of the answer
+    o = spark.range(1000).select(F.lit(3).cast("long").alias("o_custkey"), F.col("id").alias("o_orderkey"), F.col("id").cast("double").alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority"), F.make_date(year, F.lit(1), F.lit(1)).alias("o_orderdate"), F.lit("O").alias("o_orderstatus"))
+    o.write.parquet(str(tmp_path / "orders.parquet"))
+    r = QUERIES["generation_judgments"](spark, str(tmp_path)).first()
+    assert (r["alignment"], r["faithfulness"], r["coherence"]) == (0.5, 1.0, 1.0)
+
+
 def test_retries():
     calls = []
 
