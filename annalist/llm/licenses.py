@@ -6,6 +6,7 @@ fingerprint to (template, position).  A document's word hashes are looked up in
 same diagonal (document position minus template position) of one template are a candidate.  The template is then
 aligned with the document's words in a band around the diagonal (local alignment: matches 2, mismatches and gaps
 -1); a report gives the share of the template's words that are matched and the span of characters.  A
+band may hold a notice more than once: all its alignments that don't overlap are kept.  A
 match of less than ``coverage`` is dropped; of overlapping reports the one with more matched words
 stays (the first by template name among equals).
 
@@ -103,15 +104,15 @@ class Index:
         return found
 
 
-def align(template: list[bytes], words: list[bytes], diagonal: int) -> tuple[int, int, int] | None:
-    """Matched words of the best local alignment around a diagonal, and the first and last document
-    word matched."""
+def align(template: list[bytes], words: list[bytes], diagonal: int, least: float) -> list[tuple[int, int, int]]:
+    """Matched words, and the first and last document word matched, of the local alignments around a diagonal that
+    match ``least`` words, best first; of those that overlap, the better one."""
     lo = max(0, diagonal - BAND)
     hi = min(len(words), diagonal + len(template) + 2 * BAND)
     width = hi - lo
     if width <= 0:
-        return None
-    best = (0, 0, 0, 0)
+        return []
+    ends = []
     # of each cell: score, matched words, first matched word
     above = [(0, 0, -1)] * (width + 1)
     for i, t in enumerate(template):
@@ -119,14 +120,19 @@ def align(template: list[bytes], words: list[bytes], diagonal: int) -> tuple[int
         a, z = max(0, diagonal + i - BAND - lo), min(width, diagonal + i + 2 * BAND + 1 - lo)
         for j in range(a, z):
             s, m, f = above[j]
-            here = (s + 2, m + 1, f if m else lo + j) if words[lo + j] == t else (s - 1, m, f)
+            same = words[lo + j] == t
+            here = (s + 2, m + 1, f if m else lo + j) if same else (s - 1, m, f)
             here = max(here, (above[j + 1][0] - 1, *above[j + 1][1:]), (row[j][0] - 1, *row[j][1:]), key=lambda c: c[0])
             if here[0] > 0:
                 row[j + 1] = here
-                if here[0] > best[0]:
-                    best = (here[0], here[1], here[2], lo + j)
+                if same and here[1] >= least:
+                    ends.append((*here, lo + j))
         above = row
-    return best[1:] if best[0] > 0 else None
+    out: list[tuple[int, int, int]] = []
+    for _, m, a, z in sorted(ends, key=lambda e: -e[0]):
+        if all(z < x or a > y for _, x, y in out):
+            out.append((m, a, z))
+    return out
 
 
 def _scan(index: Index, coverage: float, raw: bytes, known: dict[bytes, int]) -> list[tuple]:
@@ -137,18 +143,16 @@ def _scan(index: Index, coverage: float, raw: bytes, known: dict[bytes, int]) ->
         return []
     hits = set()
     for t, d in found:
-        if got := align(index.words[t], words, d):
-            n, a, z = got
-            if n >= coverage * len(index.words[t]):
-                hits.add((-n, index.names[t], n / len(index.words[t]), a, z))
+        size = len(index.words[t])
+        hits |= {(-n, index.names[t], n / size, a, z) for n, a, z in align(index.words[t], words, d, coverage * size)}
     if not hits:
         return []
     spans = [m.span() for m in _WORD.finditer(lower)]
     chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-    out, taken = [], []
+    out, taken = [], bytearray(len(words))
     for n, name, share, a, z in sorted(hits):
-        if all(z < x or a > y for x, y in taken):
-            taken.append((a, z))
+        if 1 not in taken[a : z + 1]:
+            taken[a : z + 1] = b"\1" * (z + 1 - a)
             out.append((name, share, -n, int(chars[spans[a][0]]), int(chars[spans[z][1]])))
     return sorted(out, key=lambda x: x[3])
 

@@ -204,6 +204,20 @@ def test_licenses(spark, docs, empty):
         assert name in {x[0] for x in licenses._scan(licenses.Index({name: text}), 0.8, f"so: {text} end".encode(), {})}
 
 
+def test_repeated_licenses(spark):
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        for gap in range(14):
+            for times in (2, 3, 7):
+                t = ("so: " + ("\n" + "x " * gap).join([text] * times) + " end").encode()
+                got = [(x[0], x[1], x[3], x[4]) for x in licenses._scan(index, 0.8, t, {})]
+                step = len(text) + 1 + 2 * gap
+                size = len(text.rstrip(".:"))
+                assert got == [(name, 1.0, 4 + i * step, 4 + i * step + size) for i in range(times)], (name, gap, times)
+    d = spark.createDataFrame([(1, "Released under the MIT License.\nReleased under the MIT License.\nReleased by the MIT License.\n" * 2)], "doc_id long, text string")
+    assert [(r["coverage"], r["start_char"]) for r in licenses.scan(d).orderBy("start_char").collect()] == [(c, 93 * k + x) for k in range(2) for c, x in ((1.0, 0), (1.0, 32), (0.8, 64))]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(docs, empty, rule):
     path = P.path("byte_bpe_50k.tiktoken")
