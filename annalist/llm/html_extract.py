@@ -10,7 +10,7 @@ else lines that are links for the most part have none, and a sum must rise over
 
 Defined results: a null or empty page gives an empty text; character references are decoded (also those
 without a semicolon, as browsers do); white space inside a block becomes one space; blocks are
-joined by a line feed in page order; repeated rows are extracted row by row; other columns are ignored.
+joined by a line feed in page order; a head that isn't closed ends where something else than head content begins; repeated rows are extracted row by row; other columns are ignored.
 Each page is one row's work: nothing is shuffled.
 """
 
@@ -34,6 +34,7 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP = frozenset("head nav footer aside form button dialog menu search fieldset label".split()) | RAW
 CLOSES_P = BLOCK - {"br", "body", "html", "option", "optgroup"}
+HEAD = frozenset("base head html link meta noframes noscript script style template title".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _DROP_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|breadcrumbs?|nav\w*|menu\w*|sidebar\w*|side-?bar|footer\w*|cookies?\w*|consent|gdpr|notice\w*|newsletter\w*|subscri\w*|signup|login|popup|modal|overlay"
@@ -84,6 +85,8 @@ def lines(html: str) -> list[Line]:
 
     def text(s: str):
         if s:
+            if stack and stack[-1][0] == "head" and s.strip():
+                pop()
             line.parts.append(s)
             if links:
                 line.linked += len(s)
@@ -118,6 +121,8 @@ def lines(html: str) -> list[Line]:
             name = name.lower()
             if name in BLOCK:
                 cut()
+            if stack and stack[-1][0] == "head" and name not in HEAD:
+                pop()
             if name in CLOSES_P:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in BLOCK:

@@ -190,6 +190,16 @@ def test_proximity(spark):
     assert {r["doc"] for r in ix.near(slop=3).collect()} == {1} and ix.exact().where("size(_hits) > 0").count() == 0
 
 
+def test_html_without_head_end():
+    head = "<!doctype html><html><head><meta charset=utf-8><title>t</title><script>x</script><link rel=a>\n"
+    main = "<p>" + ("word " * 40).strip() + "</p><p>more text here"
+    want = ("word " * 40).strip() + "\nmore text here"
+    for start in ("<body>", "<BODY class=a>", "", "</head><body>", "</head>"):
+        assert html_extract.extract(head + start + main) == want
+    assert html_extract.extract(head + "Bare" + main) == "Bare\n" + want
+    assert html_extract.extract(head + "<body><nav>Home</nav>" + main + "<footer>me</footer>") == want
+
+
 def test_licenses(spark, docs, empty):
     t = "Ünder this. Released under the MIT License. And: LICENSED under the Apache licence, Version 2.0! done"
     d = spark.createDataFrame([(1, t), (2, "under the sun"), (3, None), (4, t)], "doc_id long, text string")
