@@ -75,6 +75,20 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel()
 
 
+def pack_ids(ids: list[int | None]) -> bytes:
+    """Numbers, some of them null: the places of nulls go before the rest."""
+    gaps = np.flatnonzero([i is None for i in ids]).astype(np.int64)
+    return len(gaps).to_bytes(8, "little") + gaps.tobytes() + pack(np.array([i or 0 for i in ids], np.int64))
+
+
+def unpack_ids(blob: bytes) -> pa.Array:
+    n = int.from_bytes(blob[:8], "little")
+    values = unpack(blob[8 + 8 * n :], np.int64)
+    mask = np.zeros(len(values), bool)
+    mask[np.frombuffer(blob[8 : 8 + 8 * n], np.int64)] = True
+    return pa.array(values, mask=mask)
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Ascending uint64 keys as the first one and gaps, four bytes each where all gaps fit."""
     if not len(keys):

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -258,8 +259,8 @@ def test_id_store(spark, docs, empty, tmp_path):
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    texts = [*TEXTS, (11, "say <|endoftext|> and é it's fine"), (4, "another with the same id")]
-    d = docs.unionByName(spark.createDataFrame(texts[-2:], "doc_id long, text string"), allowMissingColumns=True)
+    texts = [*TEXTS, (11, "say <|endoftext|> and é it's fine"), (4, "another with the same id"), (None, "a row without an id"), (None, None)]
+    d = docs.unionByName(spark.createDataFrame(texts[-4:], "doc_id long, text string"), allowMissingColumns=True)
     out = str(tmp_path / "store")
     id_store.write(d, path, out)
     store = id_store.Store(spark, out)
@@ -267,7 +268,7 @@ def test_id_store(spark, docs, empty, tmp_path):
     want = {}
     for i, t in texts:
         want.setdefault(i, []).append([*tok.encode(t or "", add_special_tokens=False).ids, 1])
-    assert [r["doc_id"] for r in got] == sorted(i for i, _ in texts)
+    assert [r["doc_id"] for r in got] == [None, None, *sorted(i for i, _ in texts if i is not None)]
     at = 0
     for r in got:
         assert r["start"] == at
@@ -275,6 +276,40 @@ def test_id_store(spark, docs, empty, tmp_path):
         at += r["n_tokens"]
     assert sorted(store.read_document(4)) == sorted(want[4]) and store.read_document(999) == []
     assert sum(len(r["ids"]) for r in store.documents().collect()) == at
+    assert store.read_document(0) == want[0]
     none = str(tmp_path / "none")
     id_store.write(empty, path, none)
     assert id_store.Store(spark, none).digests().count() == 0
+
+
+_ODD = st.text(alphabet=st.sampled_from(list("aB z9,.'s-_<|>\n\t\u00e9\u00c9\u0301\u0130\u03a3\u03c3\u00df\u1e9e\u00a0\u2003\u0085\x1c\u6f22\u00b2\u017f\ufb01\u212b")), max_size=40)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_is_the_library(name):
+    from tokenizers import Tokenizer
+
+    path = P.path(name)
+    tok, encoder = Tokenizer.from_file(path), id_store.Encoder(path, 4, 7)
+    assert id_store._by_words(path) == name.startswith("word")
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(_ODD, max_size=4))
+    def same(texts):
+        texts = [*texts, "<|ENDOFTEXT|> x<|endoftext|>y it'S DON'T naïve, Größe! 12,5%"]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder(pa.array([t.encode() for t in texts]))]
+        assert got == [[*tok.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+    same()
+
+
+def test_id_store_forgets(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(id_store, "CACHE", 5)
+    monkeypatch.setattr(id_store, "CHUNKS", 5)
+    encoder, tok = id_store.Encoder(path, 2, 1), Tokenizer.from_file(path)
+    for k in range(12):
+        t = " ".join(f"w{'xyz'[j % 3] * (j % 7)} {j}," for j in range(k, k + 9))
+        assert np.frombuffer(encoder(pa.array([t]))[0], "<u2").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
