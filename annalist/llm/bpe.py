@@ -120,7 +120,6 @@ def per_document(docs: DataFrame, path: str, pattern: str, finish, schema: str,
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
     asked = blocks.mapInArrow(_ask(B.buckets(size, 8 << 20)), REQUEST)
     replies = C.checkpoint(asked.groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), REPLY))
-    C.release(docs.sparkSession)
     mine = ["doc_ids", "lengths", "ids", "word_lengths", "words"]
     theirs = ["print", "places", "id_lengths", "word_ids"]
     none = lambda df, cols: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import os
 import tempfile
-import time
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -21,24 +17,46 @@ from ..shipping import ship
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.  Only a session on one machine may
+    do without, in a folder of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder of spark.checkpoint.dir, so that lost executors cost a
-    re-read, not a re-run; the folder is only chosen here where the session names none."""
+    """Materialise in the shared folder, so that lost executors cost a re-read, not a re-run.  Shuffles of plans that
+    have ended are dropped at once."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"ckpt-{uuid.uuid4().hex}")
-        sc.setCheckpointDir(where)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared(spark))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more: it does so when the
-    driver's garbage is collected, which else may take half an hour."""
-    for _ in range(2):  # the first collection lets Python's handles go, the second what they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def forget(*checkpoints: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more."""
+    for df in checkpoints:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one, ``row``: beside it no name can clash."""
+    return F.struct(*map(column, df.columns)).alias("row")
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -30,7 +30,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import uuid
 import zlib
 from array import array
@@ -348,6 +347,5 @@ class Store:
 
 
 def new_path(spark: SparkSession) -> str:
-    """A fresh folder in the shared one of spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/id-store-{uuid.uuid4().hex}"
+    """A fresh folder in the shared one."""
+    return f"{C.shared(spark)}/id-store-{uuid.uuid4().hex}"

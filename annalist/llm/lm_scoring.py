@@ -219,12 +219,10 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, excluded: int = 0, h
     replies = C.checkpoint(blocks.mapInArrow(_requests(order, folds, excluded, held, n), REQUEST).groupBy("bucket", "level").applyInArrow(_answer, REPLY))
     # one row for each bucket of order 1
     total, v, main = replies.where("block_id = -1").mapInArrow(_totals, "n long, v long, main long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "main"))).first()
-    C.release(docs.sparkSession)
     own = [c for c in blocks.columns if c != "block_id"]
     answer = ["bucket", "level", "main", "total"]
     joined = blocks.select("block_id", *own, *(F.lit(None).cast(replies.schema[c].dataType).alias(c) for c in answer)).unionByName(replies.where("block_id >= 0").select("block_id", *(F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in own), *answer))
     counted = C.checkpoint(joined.groupBy("block_id").applyInArrow(_join(order, folds, held, n), COUNTED))
-    C.release(docs.sparkSession)
     events = counted.select("events")
     weights: list[np.ndarray] = []
     for k in range(1, order + 1):

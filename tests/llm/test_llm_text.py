@@ -188,7 +188,7 @@ def test_proximity(spark):
     d = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha " + "x " * 30 + "beta gamma")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     ix = decontaminate.Index(d, decontaminate.windows(b))
-    assert {r["doc"] for r in ix.near(slop=3).collect()} == {1} and ix.exact().where("size(_hits) > 0").count() == 0
+    assert {r["row"]["doc_id"] for r in ix.near(slop=3).collect()} == {1} and ix.marked().where("n_hit > 0").count() == 0
 
 
 def test_html_without_head_end():
@@ -313,3 +313,28 @@ def test_id_store_forgets(monkeypatch):
     for k in range(12):
         t = " ".join(f"w{'xyz'[j % 3] * (j % 7)} {j}," for j in range(k, k + 9))
         assert np.frombuffer(encoder(pa.array([t]))[0], "<u2").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_decontamination_of_odd_tables(spark):
+    """Against brute force: texts and items longer than a piece and a segment, small vocabularies, rows without ids,
+    equal ids with different texts, repeated items, clashing columns."""
+    import random
+
+    rng = random.Random(3)
+    text = lambda n, k: " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+    items = [(1, text(70, 10**6)), (2, text(12, 3)), (3, text(25, 40)), (4, "w1 w1"), (5, "w1"), (None, "only here and there")]
+    long = items[0][1].split()
+    texts = [text(200, 3), text(300, 40), " ".join(long), " ".join(long[5:40]), text(9000, 10**6), "x " * 4090 + " ".join(long) + " y" * 5000, "w1 w1 only Here and THERE", "", None]
+    texts += [f"{texts[4]} {' '.join(long[30:45])} {text(10, 50)} {items[2][1]}"]
+    rows = list(enumerate(texts)) + [(0, texts[3]), (None, texts[2]), (None, None), (2, texts[2])]
+    d = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, row string, h1 string, n_words string").repartition(4)
+    b = spark.createDataFrame([(i, t, "x") for i, t in items + items[:2]], "item_id long, text string, w string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.digests(decontaminate.scan(d, b)).collect())
+    want = []
+    for i, t in rows:
+        (n, hit, found, _, bad), = brute_hits([(0, t)], items).values()
+        names = sorted({str(k) for k, x in items if brute_hits([(0, t)], [(k, x)])[0][4] and k is not None})
+        want.append((str(i), n, hit, found, hashlib.sha256(",".join(names).encode()).hexdigest(), bad))
+    assert got == sorted(want)
+    kept = decontaminate.Index(d, decontaminate.windows(b)).marked().where("n_hit = 0").select("row.*")
+    assert kept.columns == d.columns and kept.count() == sum(not w[-1] for w in want)
