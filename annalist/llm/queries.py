@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_extract, id_store, licenses, lm_scoring, ngram_join, quality, token_counts, toxicity
+from .common import shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +31,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.CURRENT)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    """The stored ledger under the current policy, with the bits of failed rules and, on every row, the corpus's
+    ablation of each rule: how many documents it alone rejects."""
+    rows = quality.store(table(spark, sf_dir, "documents"), f"{shared(spark)}/ledger-{uuid.uuid4().hex}")
+    return quality.with_ablations(quality.apply_policy(rows, quality.CURRENT), quality.CURRENT).drop("n_lines", "n_stutter")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from annalist.llm import blocks, bpe, decontaminate, html_extract, id_store, licenses, lm_scoring, quality, token_counts
 from annalist.llm import common as C
@@ -148,7 +149,21 @@ def test_quality(spark, docs, empty):
     a = {(r["policy"], r["rule"]): r for r in quality.ablations(rows).collect()}
     assert a["base", "few_words"]["failed"] == sum(brute_quality(t)[0] < 10 for _, t in [*TEXTS, *more])
     assert quality.apply_policy(quality.ledger(empty)).count() == 0
-    assert "n_tokens" in quality.measured(docs).columns
+    clash = spark.createDataFrame([(1, "a b", "x", "y", 7, None)], "doc_id long, text string, w string, row string, bits long, n_words string")
+    assert [tuple(r) for r in quality.measured(clash).where("n_words = 2").select("row.*").collect()] == [(1, "a b", "x", "y", 7, None)]
+    assert [r["doc_id"] for r in quality.ledger(clash.withColumn("doc_id", F.lit(None).cast("long"))).collect()] == [None]
+
+
+def test_stored_ledger(spark, docs, tmp_path):
+    """Policies and ablations read the stored bits alone."""
+    more = spark.createDataFrame([(50, "# $ " * 40), (51, "# * " * 9), (52, "one two three four five six seven eight nine ten eleven")], "doc_id long, text string")
+    rows = quality.store(docs.unionByName(more, allowMissingColumns=True), str(tmp_path / "ledger"))
+    assert "text" not in rows.columns
+    got = quality.with_ablations(quality.apply_policy(rows), quality.CURRENT).collect()
+    for name, (bit, _) in quality.RULES.items():
+        assert {r[f"alone_bit{bit}"] for r in got} == {sum(r["bits"] == 1 << bit for r in got)}, name
+    by_rule = {r["rule"]: r["failed_alone"] for r in quality.ablations(rows).where(f"policy = '{quality.CURRENT}'").collect()}
+    assert by_rule == {name: got[0][f"alone_bit{bit}"] for name, (bit, _) in quality.RULES.items()}
 
 
 def brute_hits(docs, items, n=10):
