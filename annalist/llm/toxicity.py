@@ -3,29 +3,32 @@
 A word enters as an embedding of its own (words of the training sample, else none) beside the mean embedding
 of its character n-grams with word ends; gated recurrent units read windows of WINDOW words from both
 sides, attention pools their states, and a logistic unit gives the window's score.  A document's score
-is the largest over all its overlapping windows (STRIDE words apart), whatever its length.  Gates
+is the largest over all its overlapping windows (STRIDE words apart), whatever its length: WINDOW - STRIDE words that
+follow each other always stand together in some window.  Gates
 and states are squashed by x / (1 + |x|), which costs no transcendental function.
 
-Training: labels come by document, so windows are learned as instances of bags.  From a bounded sample of
-labelled documents (TRAIN_DOCS of each label, those whose id hashes lowest, at most TRAIN_WINDOWS windows of
-each) all windows first count with the label of their document; then only the highest-scoring windows of
-toxic documents count as toxic, beside all windows of clean documents.  The network, some
-100,000 numbers, is trained on the driver and sent to executors; documents are scored where they are read:
-nothing is shuffled.
+Training: labels come by document, so windows are learned as instances of bags.  The sample is bounded: TRAIN_DOCS
+documents of each label, those whose id hashes lowest, without texts of over TRAIN_BYTES; all windows of the others are
+learned from, STEPS batches an epoch.  All windows first count with the label of their document; then only the
+highest-scoring windows of toxic documents count as toxic, beside all windows of clean documents.  The network (some
+530,000 numbers, most of them embeddings of character n-grams, and D_WORD for each word of the sample) is trained on the driver
+and sent to executors; documents are scored where they are read: nothing is shuffled.
 
 Defined results: a null, empty or blank text scores 0; repeated rows are scored row by row; without
-labels of both kinds to learn from, all scores are 0; labels of unknown documents and null labels are ignored.
+labels of both kinds to learn from, all scores are 0; labels of unknown documents and null labels are ignored; an id with
+clashing labels counts as toxic; a null id has no label, and is in the fold of an empty text; an empty table gives an empty
+result; other columns are ignored by ``classify`` and kept apart by ``with_scores``.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -33,8 +36,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import common as C
 
 WINDOW, STRIDE = 32, 24
-TRAIN_DOCS, TRAIN_WINDOWS = 2000, 48
-STEPS = 48  # of an epoch, whatever the sample's size
+TRAIN_DOCS, TRAIN_BYTES = 2000, 32 << 10
+STEPS = 48  # batches of an epoch, whatever the sample's size
 D_WORD, D_CHAR, H, D_ATT = 8, 8, 8, 8
 BUCKETS = 1 << 16  # of character n-grams
 GRAMS = (3, 4, 5, 6)
@@ -91,7 +94,7 @@ class Model:
         self.vocabulary = {w: i + 1 for i, w in enumerate(vocabulary)}
         f = lambda *shape, s: (r.standard_normal(shape) * s).astype(np.float32)
         d = D_WORD + D_CHAR
-        self.p = {"word": f(len(vocabulary) + 1, D_WORD, s=0.1), "char": f(BUCKETS, D_CHAR, s=0.1), "att": f(2 * H, D_ATT, s=0.3), "v": f(D_ATT, s=0.3), "out": f(2 * H, s=0.3), "bias": np.array([-1.0], np.float32)}
+        self.p = {"word": f(len(vocabulary) + 1, D_WORD, s=0.05), "char": f(BUCKETS, D_CHAR, s=0.02), "att": f(2 * H, D_ATT, s=0.3), "v": f(D_ATT, s=0.3), "out": f(2 * H, s=0.3), "bias": np.array([-1.0], np.float32)}
         self.p["word"][0] = 0
         for side in "fb":
             self.p |= {f"x{side}": f(d, 3 * H, s=0.4), f"u{side}": f(H, 3 * H, s=0.3), f"c{side}": np.zeros(3 * H, np.float32)}
@@ -145,13 +148,13 @@ class Model:
 
     def inputs(self, words: list[bytes], size: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """Projected inputs of distinct words from both sides."""
-        f, b = [np.empty((0, 3 * H), np.float32)], [np.empty((0, 3 * H), np.float32)]
+        f, b = (np.empty((len(words), 3 * H), np.float32) for _ in range(2))
         for lo in range(0, len(words), size):
             some = words[lo : lo + size]
             x = np.concatenate([self.p["word"][self.lookup(some)], Grams(some).mean(self.p["char"])], 1)
-            f.append(x @ self.p["xf"] + self.p["cf"])
-            b.append(x @ self.p["xb"] + self.p["cb"])
-        return np.concatenate(f), np.concatenate(b)
+            f[lo : lo + size] = x @ self.p["xf"] + self.p["cf"]
+            b[lo : lo + size] = x @ self.p["xb"] + self.p["cb"]
+        return f, b
 
     def scores(self, places: np.ndarray, xf: np.ndarray, xb: np.ndarray, size: int = 4096) -> np.ndarray:
         """Scores of windows of places of distinct words (windows, WINDOW); -1: no word."""
@@ -230,31 +233,59 @@ def window_starts(n: int) -> range:
     return range(0, max(n - WINDOW, 0) + STRIDE if n > WINDOW else 1, STRIDE)
 
 
-def train(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 7, batch: int = 512, seed: int = 0) -> Model | None:
-    """bags: (label, windows of words) of documents.  None without both labels."""
-    bags = [(y, [w for w in ws if w]) for y, ws in bags]
-    bags = [(y, ws) for y, ws in bags if ws]
-    if len({y for y, _ in bags}) < 2:
+class Sample:
+    """Labelled documents as arrays of places in one list of words."""
+
+    def __init__(self):
+        self.words, self.labels, self.texts = _Index(), [], []
+
+    def add(self, label: int, words: list[bytes]) -> None:
+        if words:
+            self.labels.append(label)
+            self.texts.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[int, list[bytes]]]) -> Sample:
+        out = cls()
+        for label, words in rows:
+            out.add(label, words)
+        return out
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """All windows of all documents (-1: no word), and whose they are."""
+        starts = [window_starts(len(t)) for t in self.texts]
+        bag = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
+        out = np.full((len(bag), WINDOW), -1, np.int32)
+        i = 0
+        for t, ss in zip(self.texts, starts, strict=True):
+            for s in ss:
+                w = t[s : s + WINDOW]
+                out[i, : len(w)] = w
+                i += 1
+        return out, bag
+
+
+def train(sample: Sample, epochs: int = 7, batch: int = 512, seed: int = 0) -> Model | None:
+    """None without both labels.  An epoch is STEPS batches; windows are dealt in turn, so those that an epoch doesn't
+    reach come first in the next one."""
+    if len(set(sample.labels)) < 2:
         return None
     r = np.random.default_rng(seed)
-    seen = Counter(x for _, ws in bags for x in {x for w in ws for x in w})
-    model = Model(sorted(w for w, n in seen.items() if n >= 3), seed)
-    words = sorted(seen)
-    index = {w: i for i, w in enumerate(words)}
+    words = list(sample.words)
+    seen = np.bincount(np.concatenate([np.unique(t) for t in sample.texts]), minlength=len(words))
+    model = Model([w for w, n in zip(words, seen.tolist(), strict=True) if n >= 3], seed)
     ids = model.lookup(words)
-    windows = np.full((sum(len(ws) for _, ws in bags), WINDOW), -1, np.int64)
-    bag, label, i = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.float32), 0
-    for b, (y, ws) in enumerate(bags):
-        for w in ws:
-            windows[i, : len(w)], bag[i], label[i] = [index[x] for x in w], b, y
-            i += 1
+    windows, bag = sample.windows()
+    label = np.array(sample.labels, np.float32)[bag]
     size = np.bincount(bag)
     opt = Adam(model.p, 0.01)
+    # small samples take as many steps as large ones
+    turn = {(y, "all"): np.flatnonzero(label == y) for y in (0, 1)}
+    turn |= {y: r.permutation(turn[y, "all"]) for y in (0, 1)}
     for epoch in range(epochs):
         weight = np.ones(len(windows), np.float32)
         if epoch >= 2:  # the windows that make a document toxic
-            xf, xb = model.inputs(words)
-            y = model.scores(windows, xf, xb)
+            y = model.scores(windows, *model.inputs(words))
             rank = np.zeros(len(windows), np.int64)
             order = np.lexsort((-y, bag))
             rank[order] = np.arange(len(windows)) - np.repeat(np.cumsum(size) - size, size)
@@ -263,17 +294,16 @@ def train(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 7, batch: int
             weight[(label == 0) & (rank == 0)] = 3
         balance = weight[label == 0].sum() / max(weight[label > 0].sum(), 1)
         weight[label > 0] *= np.float32(min(balance, 10) / 2)
-        chosen = np.flatnonzero(weight)
-        size_of = min(batch, max(64, len(chosen) // STEPS))
-        deals = [r.permutation(chosen) for _ in range(-(-STEPS * size_of // len(chosen)))]
-        chosen = np.concatenate(deals)[: STEPS * size_of]
-        for lo in range(0, len(chosen), size_of):
-            rows = chosen[lo : lo + size_of]
+        n = int((weight > 0).sum())
+        size_of = min(batch, max(64, n // STEPS))
+        share = {y: max(1, round(size_of * int((weight[label == y] > 0).sum()) / n)) for y in (0, 1)}
+        for _ in range(STEPS):
+            rows = np.concatenate([_deal(turn, y, weight, k, r) for y, k in share.items()])
             used, at = np.unique(windows[rows], return_inverse=True)
             at = at.reshape(len(rows), WINDOW)
             if used[0] < 0:
                 used, at = used[1:], at - 1
-            mine = Grams([words[j] for j in used])
+            mine = Grams([words[j] for j in used.tolist()])
             drop = r.random(len(used)) < 0.3
             g, _ = model.gradients(ids[used], mine, at, label[rows], weight[rows], drop)
             opt.step(g)
@@ -281,16 +311,32 @@ def train(bags: list[tuple[int, list[list[bytes]]]], epochs: int = 7, batch: int
     return model
 
 
+def _deal(turn: dict, y: int, weight: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
+    """The next k windows of label y with a weight; a new deal when all have had their turn."""
+    out, n = [], 0
+    while n < k:
+        if not len(turn[y]):
+            turn[y] = r.permutation(turn[y, "all"])
+        hand = turn[y][: 4 * k]
+        ok = np.flatnonzero(weight[hand] > 0)[: k - n]
+        out.append(hand[ok])
+        n += len(ok)
+        turn[y] = turn[y][(ok[-1] + 1 if n == k else len(hand)) :]
+    return np.concatenate(out)
+
+
 def fold_of(key, folds: int):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % folds if isinstance(key, str) else F.crc32(key.cast("string").cast("binary")) % folds
+    """crc32 of the id as text, mod folds; a null id counts as an empty text."""
+    text = (C.column(key) if isinstance(key, str) else key).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, key: str = "doc_id", text: str = "text", label: str = "toxic", where=None) -> list[tuple[int, list[list[bytes]]]]:
-    """At most per_label documents of each label with at most TRAIN_WINDOWS windows of each, spread
-    evenly over the text."""
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, key: str = "doc_id", text: str = "text", label: str = "toxic", where=None) -> Sample:
+    """Of each label, at most per_label ids, those that hash lowest; of their texts those of at most TRAIN_BYTES, whole.
+    An id with clashing labels counts as toxic; of its texts, if there are several, the least one counts."""
     spark = docs.sparkSession
     C.bounded_batches(spark)
-    known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1)").dropDuplicates(["doc_id"])
+    known = labels.select(C.column(key).alias("doc_id"), C.column(label).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     if where is not None:
         known = known.where(where)
     picked = None
@@ -298,45 +344,41 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, key:
         # the ids alone: at most per_label rows
         one = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = one if picked is None else picked.unionByName(one)
-    texts = C.texts(docs, key, text)
+    texts = C.texts(docs, key, text).where(F.octet_length("text") <= TRAIN_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor()
         for b in batches:
-            out = []
-            for doc_id, y, raw in C.rows([b], "doc_id", "label", "text"):
-                words = [w for w in map(normal, raw.split()) if w]
-                starts = list(window_starts(len(words)))
-                step = max(1, -(-len(starts) // TRAIN_WINDOWS))
-                out.append((doc_id, y, [b" ".join(words[s : s + WINDOW]) for s in starts[::step]]))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in out], pa.int64()), "label": pa.array([x[1] for x in out], pa.int32()), "windows": pa.array([x[2] for x in out], pa.list_(pa.binary()))})
+            words = [press.compress(b" ".join([w for w in map(normal, raw.split()) if w])) for raw in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(words, pa.binary())], names=["doc_id", "label", "words"])
 
-    rows = texts.join(F.broadcast(picked), "doc_id").mapInArrow(cut, "doc_id long, label int, windows array<binary>")
-    got = {r["doc_id"]: (r["label"], [bytes(w).split() for w in r["windows"]]) for r in rows.collect()}
-    return [got[i] for i in sorted(got)]
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = rows.mapInArrow(cut, "doc_id long, label int, words binary").collect()  # 2 * per_label rows at most
+    got.sort(key=lambda r: r["doc_id"])
+    unpress = zstandard.ZstdDecompressor()
+    return Sample.of((r["label"], unpress.decompress(bytes(r["words"])).split()) for r in got)
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return with_scores(rows, model).select("doc_id", F.col("_score").alias("score"))
+    rows = docs.select(C.column(key).cast("long").alias("doc_id"), C.column(text).alias("text"))
+    return with_scores(rows, model).select("row.doc_id", "score")
 
 
 def with_scores(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with a column _score."""
+    """row (all columns of docs, whatever their names) and score."""
     C.bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in ("_raw", "_score")]
-    rows = docs.select(*own, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_raw"))
+    rows = docs.select(C.whole(docs), F.coalesce(C.column(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = sent.value
         for b in batches:
-            raw = b.column("_raw").to_pylist()
+            raw = b.column("raw").to_pylist()
             best = np.zeros(len(raw), np.float64) if m is None else _best(m, raw)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(best)], names=[*own, "_score"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(best)], names=["row", "score"])
 
-    schema = StructType([*(rows.schema[c] for c in own), StructField("_score", DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 class _Index(dict):
