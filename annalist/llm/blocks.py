@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -48,7 +47,7 @@ def plan(df: DataFrame, tokenize: Callable[[bytes], list], block_bytes: int = BL
         def flush():
             words = [w if isinstance(w, bytes) else w.encode() for w in vocab]
             tokens = np.concatenate(chunks) if chunks else np.empty(0, np.uint32)
-            return (part << 32 | n, len(ids), len(tokens), len(words), C.pack(np.array(ids, np.int64)), C.pack(np.array(lengths, np.uint32)), C.pack(tokens), *C.pack_words(words))
+            return (part << 32 | n, len(ids), len(tokens), len(words), C.pack_ids(ids), C.pack(np.array(lengths, np.uint32)), C.pack(tokens), *C.pack_words(words))
 
         for doc_id, raw in C.rows(batches, "doc_id", "text"):
             tokens = tokenize(raw)
@@ -63,8 +62,7 @@ def plan(df: DataFrame, tokenize: Callable[[bytes], list], block_bytes: int = BL
         if ids:
             yield C.batch_of(_ARROW, [flush()])
 
-    # a null key (a row without identity) can't be told from others in a result by key
-    return C.texts(df.where(F.col(key).isNotNull()), key, text).mapInArrow(run, SCHEMA)
+    return C.texts(df, key, text).mapInArrow(run, SCHEMA)
 
 
 class Block:
@@ -72,7 +70,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.block_id = row["block_id"]
-        self.doc_ids = C.unpack(row["doc_ids"], np.int64)
+        self.doc_ids = C.unpack_ids(row["doc_ids"])  # of rows without an id: null
         self.lengths = C.unpack(row["lengths"], np.uint32).astype(np.int64)
         self.ids = C.unpack(row["ids"], np.uint32)
         self._words = row["word_lengths"], row["words"]

@@ -9,8 +9,8 @@ isn't read in the same order), its fingerprint differs from that of its answers
 own words.  Decoding joins the token-byte table (as many
 rows as the vocabulary) to the ids.
 
-Defined results: a null or empty text has no ids; rows with a null id have none; repeated rows are
-encoded row by row; an empty table gives an empty result.
+Defined results: a null or empty text has no ids; a null id stays null; repeated rows are encoded row by row; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def per_document(docs: DataFrame, path: str, pattern: str, finish, schema: str,
                 ids = [_encoding(path, pattern)._encode_single_piece(w) for w in words]
             else:
                 ids = word_ids(answers, len(words))
-            out.append(finish(C.unpack(block["doc_ids"], np.int64), C.unpack(block["lengths"], np.uint32).tolist(), C.unpack(block["ids"], np.uint32).tolist(), ids))
+            out.append(finish(C.unpack_ids(block["doc_ids"]), C.unpack(block["lengths"], np.uint32).tolist(), C.unpack(block["ids"], np.uint32).tolist(), ids))
         return pa.concat_tables(out) if out else arrow.empty_table()
 
     return both.groupBy("block_id").applyInArrow(join, schema)
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         for n in lengths:
             out.append([x for p in places[at : at + n] for x in ids[p]])
             at += n
-        return pa.table([pa.array(doc_ids), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        return pa.table([doc_ids, pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return per_document(docs, path, pattern, finish, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), key, text)
 
@@ -180,6 +180,6 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
             a.append(hashlib.sha256(b",".join([shown[p] for p in mine])).hexdigest())
             b.append(hashlib.sha256(b"".join([raw[p] for p in mine])).hexdigest())
             at += m
-        return pa.table([pa.array(doc_ids), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.table([doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return per_document(docs, path, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]), key, text)

@@ -44,9 +44,12 @@ def forget(*checkpoints: DataFrame) -> None:
     for df in checkpoints:
         file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
         if file.isDefined():
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            delete(df.sparkSession, file.get())
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def column(name: str) -> Column:
@@ -70,7 +73,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text as UTF-8 bytes, a null text as an empty one."""
     bounded_batches(df.sparkSession)
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    return df.select(column(key).cast("long").alias("doc_id"), F.coalesce(column(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
 def rows(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:

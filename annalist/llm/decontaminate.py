@@ -128,6 +128,11 @@ class Index:
         found = few(self.by_text())
         return rows.join(found, TEXT, "left").select("row", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
+    def clean(self) -> DataFrame:
+        """row of every row of docs without any window."""
+        found = few(checkpoint(self.phrases().select(*TEXT).distinct()))
+        return self.docs.join(found, TEXT, "left_anti").select("row")
+
     def near(self, slop: int = 5) -> DataFrame:
         """row, item, start of proximity matches: each anchor of a window stands within slop words of where it would be
         if the window began at start, a place given by the rarest."""

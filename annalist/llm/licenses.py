@@ -13,8 +13,8 @@ stays (the first by template name among equals).
 The index has as many entries as the templates have fingerprints: it is sent to executors whole.  Documents are
 scanned where they are read, without a shuffle.
 
-Defined results: a null or empty text has no match; repeated rows are scanned row by row; an empty table
-or no template gives an empty result.
+Defined results: a null or empty text has no match; a null id stays null; repeated rows are scanned row by row; of
+equal matches the first template by name stays; an empty table or no template gives no match; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -185,4 +184,4 @@ def _apply(docs, templates, coverage, key, text, shape, schema: str, arrow: pa.S
                 out += shape(doc_id, _scan(index, coverage, raw, known))
             yield C.batch_of(arrow, out)
 
-    return C.texts(docs.where(F.col(key).isNotNull()), key, text).mapInArrow(run, schema)
+    return C.texts(docs, key, text).mapInArrow(run, schema)

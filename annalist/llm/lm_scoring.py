@@ -15,7 +15,7 @@ by block, as the counts of all places and the events of the held-out fold, which
 two binned log probabilities), and finally scores its documents.  n-gram keys are 64-bit hashes; n-grams of
 order 2 and up keep 40 bits of theirs within a bucket of some millions of keys, at any size of the corpus.
 
-Defined results: a null or empty text is one end token; rows with a null id have no result; repeated
+Defined results: a null or empty text is one end token; a null id stays null and is in the fold of an empty text; repeated
 rows are scored, and learned from, row by row; an empty table has an empty result; without any training
 document c = N = V = 0 and the base score of a token is log10(0.1 / 0.1).
 """
@@ -52,8 +52,9 @@ def tokenize(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def fold_of(doc_ids: np.ndarray, folds: int) -> np.ndarray:
-    return np.array([zlib.crc32(b"%d" % i) % folds for i in doc_ids.tolist()], np.int32)
+def fold_of(doc_ids: pa.Array, folds: int) -> np.ndarray:
+    """A null id counts as an empty text."""
+    return np.array([zlib.crc32(b"" if i is None else b"%d" % i) % folds for i in doc_ids.to_pylist()], np.int32)
 
 
 def spare_bits(n_buckets: int) -> int:
@@ -223,6 +224,7 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, excluded: int = 0, h
     answer = ["bucket", "level", "main", "total"]
     joined = blocks.select("block_id", *own, *(F.lit(None).cast(replies.schema[c].dataType).alias(c) for c in answer)).unionByName(replies.where("block_id >= 0").select("block_id", *(F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in own), *answer))
     counted = C.checkpoint(joined.groupBy("block_id").applyInArrow(_join(order, folds, held, n), COUNTED))
+    C.forget(blocks, replies)
     events = counted.select("events")
     weights: list[np.ndarray] = []
     for k in range(1, order + 1):
@@ -251,7 +253,7 @@ def _join(order: int, folds: int, held: int, n_buckets: int):
         main, total = Counts.of(g, [r for r in got if r["doc_ids"] is None], order, ["main", "total"])
         where = np.flatnonzero(g.real & (g.fold == held)[g.doc])
         columns = [main.gram(k, where) for k in range(1, order + 1)] + [main.context(k, where) for k in range(2, order + 1)]
-        cells = [C.pack(block.doc_ids), C.pack(g.fold), C.pack(g.lengths), C.pack(np.concatenate(total.at), 1), C.pack(np.concatenate(columns), 1)]
+        cells = [C.pack_ids(block.doc_ids.to_pylist()), C.pack(g.fold), C.pack(g.lengths), C.pack(np.concatenate(total.at), 1), C.pack(np.concatenate(columns), 1)]
         return pa.table({c: pa.array([x], pa.binary()) for c, x in zip(("doc_ids", "folds", "lengths", "counts", "events"), cells, strict=True)})
 
     return run
@@ -284,7 +286,7 @@ def _score(order: int, n: int, v: int, weights: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                doc_ids, fold, lengths = C.unpack(row["doc_ids"], np.int64), C.unpack(row["folds"], np.int32), C.unpack(row["lengths"], np.int64)
+                doc_ids, fold, lengths = C.unpack_ids(row["doc_ids"]), C.unpack(row["folds"], np.int32), C.unpack(row["lengths"], np.int64)
                 # the counted places of a document: its last start mark and its tokens
                 c = Counts(np.ones(int((lengths + 1).sum()), bool), list(C.unpack(row["counts"], np.int64).reshape(order, -1)))
                 doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -293,6 +295,6 @@ def _score(order: int, n: int, v: int, weights: list[np.ndarray]):
                 p = _mixed(grams, [None, *(c.context(k, where) for k in range(2, order + 1))], n, v, weights)
                 base = np.log10((grams[0] + 0.1) / (n + 0.1 * (v + 1)))
                 add = lambda x: np.bincount(doc, weights=x, minlength=len(lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(fold), pa.array(lengths), pa.array(add(grams[0] > 0).astype(np.int64)), pa.array(np.full(len(doc_ids), n, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))], schema=_ARROW["scores"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(fold), pa.array(lengths), pa.array(add(grams[0] > 0).astype(np.int64)), pa.array(np.full(len(doc_ids), n, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))], schema=_ARROW["scores"])
 
     return run

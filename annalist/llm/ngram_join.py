@@ -21,8 +21,9 @@ across them is held against the bounds (in squares of CHUNK x CHUNK members) and
 that shares a key is verified or lies within one component already: no link between components is lost.
 
 Defined results: letters A-Z count as lower case; a document of fewer than n words is one shingle; a null or empty
-text or one without words has no shingles and is linked with nothing; rows with a null id are left out; of
-repeated rows each has a result; an empty table gives an empty result.
+text or one without words has no shingles and is linked with nothing; a null id stays null, and its row's component is
+the least id that there is among linked rows, else null; of repeated rows each has a result; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def _sign(n: int):
                     k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
                     who = np.concatenate(members) if members else np.empty(0, np.uint32)
                     order = np.argsort(k, kind="stable")
-                    yield (block.block_id, len(k), C.pack(block.doc_ids), C.pack(np.array(sizes, np.uint32)), C.pack(np.array(nodes, np.uint64)), b"".join(sketches), C.pack(k[order], 1), C.pack(who[order], 1))
+                    yield (block.block_id, len(k), C.pack_ids(block.doc_ids.to_pylist()), C.pack(np.array(sizes, np.uint32)), C.pack(np.array(nodes, np.uint64)), b"".join(sketches), C.pack(k[order], 1), C.pack(who[order], 1))
 
         yield from C.emit(items(), _SIGNED, n=16)
 
@@ -142,10 +143,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a document.  ref: its block and place there."""
     for b in batches:
         for r in b.to_pylist():
-            ids, sizes, w = C.unpack(r["doc_ids"], np.int64), C.unpack(r["sizes"], np.uint32), SKETCH // 8
+            ids, sizes, w = C.unpack_ids(r["doc_ids"]), C.unpack(r["sizes"], np.uint32), SKETCH // 8
             for a in range(0, len(ids), 4096):
                 z = min(len(ids), a + 4096)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:z]), pa.array(_refs(r["block_id"], np.arange(a, z))), pa.array(C.unpack(r["nodes"], np.uint64)[a:z].view(np.int64)), pa.array(sizes[a:z].astype(np.int64)), pa.array([r["sketches"][i * w : i * w + w] for i in range(a, z)], pa.binary())], schema=_ROW)
+                yield pa.RecordBatch.from_arrays([ids[a:z], pa.array(_refs(r["block_id"], np.arange(a, z))), pa.array(C.unpack(r["nodes"], np.uint64)[a:z].view(np.int64)), pa.array(sizes[a:z].astype(np.int64)), pa.array([r["sketches"][i * w : i * w + w] for i in range(a, z)], pa.binary())], schema=_ROW)
 
 
 def _refs(block_id: int, places: np.ndarray) -> np.ndarray:
@@ -334,38 +335,38 @@ def _verify(n: int):
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id) of every id in edges (a, b), by alternating large and small
     stars: each round joins every id to the least of its neighbours, and the number of rounds is about
-    the logarithm of a component's diameter.  Nothing is gathered by key but minima."""
-    e = C.checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
+    the logarithm of a component's diameter.  Nothing is gathered by key but minima.  It ends when a round changes no edge."""
+    stored = C.checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.lit(1).alias("now")).where("u <> v").distinct())
     while True:
+        e = stored.where("now = 1").select("u", "v")
         # large star: the neighbours above u, to the least around u
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the neighbours below u and u itself, to the least below u
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = C.checkpoint(e)
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == seen:
-            break
-        seen = now
-    return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v")
+        # edges of this round (now) and of the one before
+        marked = small.select("u", "v", F.lit(1).alias("now"), F.lit(0).alias("was")).unionByName(e.select("u", "v", F.lit(0).alias("now"), F.lit(1).alias("was")))
+        after = C.checkpoint(marked.groupBy("u", "v").agg(F.max("now").alias("now"), F.max("was").alias("was")))
+        C.forget(stored)
+        stored = after
+        if after.where("now <> was").isEmpty():
+            return after.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
 def join(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) of every row."""
-    spark = docs.sparkSession
     blocks = B.build(docs, tokenize, block_bytes, key, text)
     signed = C.checkpoint(blocks.mapInArrow(_sign(n), SIGNED))
     total = signed.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
     rows = signed.select("block_id", "doc_ids", "sizes", "nodes", "sketches").mapInArrow(_rows, "doc_id long, ref long, node long, n_shingles long, sketch binary")
     # one row for each distinct set
     info = C.checkpoint(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("ref").alias("ref"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
+    rows = C.checkpoint(rows.drop("sketch"))
     n_buckets = B.buckets(total, 2_000_000)
     nothing = F.lit(None).cast("array<struct<place:int,label:bigint>>").alias("known")
     met = C.checkpoint(signed.select("block_id", "keys", "members", nothing).mapInArrow(_post(n_buckets), POSTED).groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long"))
-    C.release(spark)
     node_of = rows.where("n_shingles > 0").select("ref", "node")
     block_of = F.shiftleft(F.shiftright("ref", 40), 32) + F.shiftright("ref", 24).bitwiseAND(F.lit(0xFFFF))
 
@@ -382,44 +383,60 @@ def join(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", b
         wanted = needed.groupBy(block_of.alias("block_id")).agg(F.collect_list(F.struct("ref", "node")).alias("wanted"))  # at most a block's documents
         words = C.checkpoint(blocks.join(wanted, "block_id").mapInArrow(_texts, "node long, words binary"))
         got = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("t_a")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("t_b")), "b")
-        return C.checkpoint(got.select("a", "b", "t_a", "t_b").mapInArrow(_verify(n), "a long, b long"))
-
-    def by_id(links: DataFrame) -> DataFrame:
-        side = lambda c: info.select(F.col("node").alias(c), F.col("id").alias(f"id_{c}"))
-        return links.join(side("a"), "a").join(side("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        out = C.checkpoint(got.select("a", "b", "t_a", "t_b").mapInArrow(_verify(n), "a long, b long"))
+        C.forget(pairs, words)
+        return out
 
     def labels(links: DataFrame) -> DataFrame:
-        """node, label: the least id of the component."""
-        return C.checkpoint(info.select("node", "id").join(components(by_id(links)), "id", "left").select("node", F.coalesce("component", "id").alias("label")))
+        """node, label (the least node of the component) of nodes with links."""
+        found = components(links).select(F.col("id").alias("node"), F.col("component").alias("label"))
+        return C.checkpoint(found.unionByName(found.select(F.col("label").alias("node"), "label").distinct()))
 
-    def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-        side = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where("l_a <> l_b").select("a", "b")
+    def labelled(df: DataFrame, label: DataFrame, node: str, name: str) -> DataFrame:
+        return df.join(label.select(F.col("node").alias(node), F.col("label").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    pairs = C.checkpoint(named(met.groupBy("a", "b").agg(F.min("kind").alias("kind")), "a", "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("kind").alias("kind")))
+    met_nodes = named(met.groupBy("a", "b").agg(F.min("kind").alias("kind")), "a", "b").where("a <> b")
+    pairs = C.checkpoint(met_nodes.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("kind").alias("kind")))
+    C.forget(met)
     links = verified(pairs.where("kind = 0").select("a", "b"))
-    links = links.unionByName(verified(across(pairs.where("kind = 1"), labels(links))))
-    C.release(spark)
+    first = labels(links)
+    across = labelled(labelled(pairs.where("kind = 1"), first, "a", "l_a"), first, "b", "l_b").where("l_a <> l_b").select("a", "b")
+    links = links.unionByName(verified(across))
+    C.forget(first)
     found = labels(links)
     # the keys of all documents that met another one, with their components
     active = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named_rows = node_of.join(active, "node", "left_semi").join(found, "node")
+    named_rows = labelled(node_of.join(active, "node", "left_semi"), found, "node", "label")
     known = named_rows.groupBy(block_of.alias("block_id")).agg(F.collect_list(F.struct(F.col("ref").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("place"), "label")).alias("known"))  # at most a block's documents
     again = signed.select("block_id", "keys", "members").join(known, "block_id").mapInArrow(_post(n_buckets), POSTED)
     opened = C.checkpoint(again.groupBy("bucket").applyInArrow(_open, "g long, m long, ref long, label long"))
-    C.release(spark)
+    C.forget(pairs, signed)
     if not opened.isEmpty():
         members = opened.join(node_of, "ref").select("g", "m", "node", "label").distinct().join(info.select("node", "n", "sketch"), "node")
         squares = members.withColumn("k", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("c", F.pmod(F.hash("node"), F.col("k")))
         squares = squares.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("g", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "n", "label", "sketch")
         links = links.unionByName(verified(squares.groupBy("g", "i", "j").applyInArrow(_cross, "a long, b long").distinct()))
+        C.forget(found)
         found = labels(links)
-    ids = found.select("node", F.col("label").alias("component_id"))
-    out = rows.drop("sketch", "ref").join(ids, "node", "left")
+    C.forget(opened, blocks)
+    least = found.join(info.select("node", "id"), "node").groupBy("label").agg(F.min("id").alias("component_id"))
+    ids = info.select("node", "id").join(found.join(least, "label").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.drop("ref").join(ids, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, joined: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id."""
-    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key])
+def representatives(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near duplicates: of each component the row with the smallest id stays, of rows with equal ids the one
+    that hashes least, of rows with equal ids and texts one; rows without shingles all stay.  Rows are known by
+    64 bits of their id and text, so equal ids with different texts aren't mixed up, and rows without an id have their turn last."""
+    rows = docs.select(C.whole(docs), C.column(key).alias("id"), F.xxhash64(C.column(key), C.column(text)).alias("k"), C.column(text).alias("text"))
+    joined = C.checkpoint(join(rows, n, key="k").where("n_shingles > 0").groupBy(F.col("doc_id").alias("k"), F.col("component_id").alias("c")).agg(F.count("*").alias("times")))
+    several = joined.groupBy("c").agg(F.sum("times").alias("size")).where("size > 1")
+    mine = joined.join(several, "c").select("k", "c", "times")
+    own = rows.select("k", "id").join(mine, "k").select("k", "c", "times", F.struct(F.col("id").isNull(), "id", "k").alias("place")).distinct()
+    best = own.groupBy("c").agg(F.min("place").alias("place")).select("c", F.col("place.k").alias("best"))
+    out = C.checkpoint(own.join(best, "c").select("k", (F.col("k") == F.col("best")).alias("stays"), "times"))
+    kept = rows.join(out.select("k"), "k", "left_anti").unionByName(rows.join(out.where("stays AND times = 1").select("k"), "k", "left_semi"))
+    if not out.where("stays AND times > 1").isEmpty():
+        kept = kept.unionByName(rows.join(out.where("stays AND times > 1").select("k"), "k", "left_semi").dropDuplicates(["k"]))
+    return kept.select("row.*")

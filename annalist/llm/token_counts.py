@@ -13,8 +13,8 @@ Under each rule the counts of a document's sections add up to its token count.
 by default its lines, each with the line feed that ends it.  Fields (several columns) are sections of the
 text they make when joined by a separator, which belongs to the field before it.
 
-Defined results: a null or empty text has one empty section without tokens; repeated rows are counted
-row by row; an empty table gives an empty result.  Nothing is shuffled.
+Defined results: a null or empty text has one empty section without tokens; a null id stays null; repeated rows are
+counted row by row; an empty table gives an empty result; other columns are ignored.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def by_section(docs: DataFrame, path: str, pattern: str, rule: str = "first", se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, lengths = bpe._encoding(path, pattern), _lengths(path)
         for b in batches:
-            columns = [[] for _ in _OUT.names]
+            columns, nulls = [[] for _ in _OUT.names], []
             for doc_id, raw in C.rows([b], "doc_id", "text"):
                 ends = np.cumsum(lengths[np.array(encode.encode_ordinary(raw.decode("utf-8", "replace")), np.int64)])
                 starts = sections(raw)
@@ -84,18 +85,21 @@ def by_section(docs: DataFrame, path: str, pattern: str, rule: str = "first", se
                 chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
                 at = chars[np.concatenate([starts, [len(raw)]])]
                 n = len(starts)
-                for c, x in zip(columns, (np.full(n, doc_id), np.arange(n), at[:-1], at[1:], count, cross, np.full(n, len(ends))), strict=True):
+                for c, x in zip(columns, (np.full(n, doc_id or 0), np.arange(n), at[:-1], at[1:], count, cross, np.full(n, len(ends))), strict=True):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, _OUT.types, strict=True)], schema=_OUT)
+                nulls.append(np.full(n, doc_id is None))
+            arrays = [pa.array(np.concatenate(c) if c else [], t) for c, t in zip(columns, _OUT.types, strict=True)]
+            arrays[0] = pc.if_else(pa.array(np.concatenate(nulls) if nulls else [], pa.bool_()), pa.scalar(None, pa.int64()), arrays[0])
+            yield pa.RecordBatch.from_arrays(arrays, schema=_OUT)
 
-    return C.texts(docs.where(F.col(key).isNotNull()), key, text).mapInArrow(run, "doc_id long, section long, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long")
+    return C.texts(docs, key, text).mapInArrow(run, "doc_id long, section long, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long")
 
 
 def by_field(rows: DataFrame, fields: list[str], path: str, pattern: str, rule: str = "first", separator: str = "\n", key: str = "doc_id") -> DataFrame:
     """Like by_section, for several text columns that are encoded as one text; section: the field's place."""
     sep = separator.encode()
-    bounds = F.array(*(F.octet_length(F.coalesce(F.col(f), F.lit(""))) for f in fields))
-    joined = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.concat_ws(separator, *(F.coalesce(F.col(f), F.lit("")) for f in fields)).cast("binary").alias("text"), bounds.alias("sizes"))
+    bounds = F.array(*(F.octet_length(F.coalesce(C.column(f), F.lit(""))) for f in fields))
+    joined = rows.select(C.column(key).cast("long").alias("doc_id"), F.concat_ws(separator, *(F.coalesce(C.column(f), F.lit("")) for f in fields)).cast("binary").alias("text"), bounds.alias("sizes"))
     C.bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

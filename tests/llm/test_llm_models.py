@@ -71,8 +71,21 @@ def test_join_against_all_pairs(spark, seed):
 def test_join_empty_and_representatives(spark):
     d = spark.createDataFrame([(3, "a b c d e f"), (1, "A b c d e f"), (2, "other"), (2, "other")], "doc_id long, text string")
     assert ngram_join.join(d.where("false")).count() == 0
-    j = ngram_join.join(d)
-    assert sorted(r["doc_id"] for r in ngram_join.representatives(d, j).collect()) == [1, 2]
+    assert sorted(r["doc_id"] for r in ngram_join.representatives(d).collect()) == [1, 2]
+    assert ngram_join.representatives(d.where("false")).count() == 0
+
+
+def test_representatives_of_odd_rows(spark):
+    """Equal ids with different texts, rows without ids, repeated rows, empty texts, clashing columns."""
+    a, b, c = "a b c d e f g h i j k", "l m n o p q r s t u v", "1 2 3 4 5 6 7 8 9"
+    rows = [(2, a), (2, b), (None, b), (None, c), (None, c.upper()), (7, None), (7, ""), (7, a), (9, c + " x"), (5, "z " * 9), (5, "z " * 9)]
+    d = spark.createDataFrame([(i, t, "p", "q") for i, t in rows], "doc_id long, text string, k string, row string").repartition(3)
+    kept = ngram_join.representatives(d)
+    assert kept.columns == d.columns
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
+    assert got == sorted([("2", a), ("2", b), ("7", ""), ("7", ""), ("9", c + " x"), ("5", "z " * 9)]) or got == sorted([("2", a), ("2", b), ("7", ""), ("7", ""), ("9", c + " x"), ("5", "z " * 9), ("None", c)])
+    j = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.join(d).collect()}
+    assert j[(7, 0)] == 7 and j[(7, 7)] == 2 and j[(None, 7)] == 2
 
 
 def test_segments_guarantee():
