@@ -62,7 +62,7 @@ def plan(df: DataFrame, tokenize: Callable[[bytes], list], block_bytes: int = BL
         if ids:
             yield C.batch_of(_ARROW, [flush()])
 
-    return C.texts(df, key, text).mapInArrow(run, SCHEMA)
+    return C.texts(df, key, text).mapInArrow(C.tidy(run), SCHEMA)
 
 
 class Block:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,40 @@ from ..shipping import ship
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 
 
+def _lean() -> None:
+    """Large arrays are mapped and go back to the system when they are dropped, where the C library allows it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+_lean()
+
+
+def trim() -> None:
+    """Idle workers hold no memory that they don't use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """For functions of batches or of one group: trim when they are done."""
+
+    def batches(given):
+        try:
+            yield from run(given)
+        finally:
+            trim()
+
+    def group(table):
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return batches if inspect.isgeneratorfunction(run) else group
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.  Only a session on one machine may
     do without, in a folder of its own."""

@@ -181,4 +181,4 @@ def extract_pages(pages: DataFrame, html: str = "html", columns: tuple[str, ...]
             own = [n for n in b.schema.names if n != "_html"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in own), pa.array(got, pa.string()), pa.array(list(map(len, got)), pa.int64())], names=[*own, "text", "n_chars"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(C.tidy(run), schema)

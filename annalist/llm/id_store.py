@@ -213,7 +213,7 @@ def train_dictionary(docs: DataFrame, encoder: Encoder) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in encoder(b.column("text"))], pa.binary())], names=["ids"])
 
     own = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # SAMPLE_DOCS rows at most
-    samples = sorted(bytes(r["ids"]) for r in own.select("text").mapInArrow(encode, "ids binary").collect())
+    samples = sorted(bytes(r["ids"]) for r in own.select("text").mapInArrow(C.tidy(encode), "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -263,7 +263,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, key: str = "doc
         gc.enable()
 
     encoder_bytes = id_bytes(path)
-    ordered.mapInArrow(shards, SHARD).write.parquet(f"{out}/shards")
+    ordered.mapInArrow(C.tidy(shards), SHARD).write.parquet(f"{out}/shards")
 
 
 class Store:
@@ -317,7 +317,7 @@ class Store:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
         C.bounded_batches(self.spark)
-        return self.shards().mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return self.shards().mapInArrow(C.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def documents(self) -> DataFrame:
         """doc_id and ids of every document."""
@@ -331,7 +331,7 @@ class Store:
                         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([ids.astype(np.int64) for _, ids in some], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
         C.bounded_batches(self.spark)
-        return self.spark.read.schema(SHARD).parquet(f"{self.path}/shards").mapInArrow(run, "doc_id long, ids array<long>")
+        return self.spark.read.schema(SHARD).parquet(f"{self.path}/shards").mapInArrow(C.tidy(run), "doc_id long, ids array<long>")
 
     def read_document(self, doc_id: int) -> list[list[int]]:
         """The ids of the documents with this id, decompressing nothing else of their shards."""

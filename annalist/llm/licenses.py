@@ -184,4 +184,4 @@ def _apply(docs, templates, coverage, key, text, shape, schema: str, arrow: pa.S
                 out += shape(doc_id, _scan(index, coverage, raw, known))
             yield C.batch_of(arrow, out)
 
-    return C.texts(docs, key, text).mapInArrow(run, schema)
+    return C.texts(docs, key, text).mapInArrow(C.tidy(run), schema)

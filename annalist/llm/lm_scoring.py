@@ -217,23 +217,23 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, excluded: int = 0, h
     blocks = B.build(docs, tokenize, block_bytes, key, text)
     tokens, words = blocks.agg(F.coalesce(F.sum(F.col("n_tokens") + F.col("n_docs")), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     n = B.buckets(tokens * order)
-    replies = C.checkpoint(blocks.mapInArrow(_requests(order, folds, excluded, held, n), REQUEST).groupBy("bucket", "level").applyInArrow(_answer, REPLY))
+    replies = C.checkpoint(blocks.mapInArrow(C.tidy(_requests(order, folds, excluded, held, n)), REQUEST).groupBy("bucket", "level").applyInArrow(C.tidy(_answer), REPLY))
     # one row for each bucket of order 1
-    total, v, main = replies.where("block_id = -1").mapInArrow(_totals, "n long, v long, main long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "main"))).first()
+    total, v, main = replies.where("block_id = -1").mapInArrow(C.tidy(_totals), "n long, v long, main long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "main"))).first()
     own = [c for c in blocks.columns if c != "block_id"]
     answer = ["bucket", "level", "main", "total"]
     joined = blocks.select("block_id", *own, *(F.lit(None).cast(replies.schema[c].dataType).alias(c) for c in answer)).unionByName(replies.where("block_id >= 0").select("block_id", *(F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in own), *answer))
-    counted = C.checkpoint(joined.groupBy("block_id").applyInArrow(_join(order, folds, held, n), COUNTED))
+    counted = C.checkpoint(joined.groupBy("block_id").applyInArrow(C.tidy(_join(order, folds, held, n)), COUNTED))
     C.forget(blocks, replies)
     events = counted.select("events")
     weights: list[np.ndarray] = []
     for k in range(1, order + 1):
         hist = np.zeros(N_CONTEXT * N_BINS * N_BINS, np.float64)
-        cells = events.mapInArrow(_histogram(order, k, main, v, weights), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        cells = events.mapInArrow(C.tidy(_histogram(order, k, main, v, weights)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
         for cell, count in cells.collect():  # at most N_CONTEXT * N_BINS ** 2 rows, whatever the corpus
             hist[cell] = count
         weights.append(learn_weights(hist.reshape(N_CONTEXT, N_BINS, N_BINS)))
-    return counted.drop("events").mapInArrow(_score(order, total, v, weights), SCORES)
+    return counted.drop("events").mapInArrow(C.tidy(_score(order, total, v, weights)), SCORES)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -358,15 +358,15 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) of every row."""
     blocks = B.build(docs, tokenize, block_bytes, key, text)
-    signed = C.checkpoint(blocks.mapInArrow(_sign(n), SIGNED))
+    signed = C.checkpoint(blocks.mapInArrow(C.tidy(_sign(n)), SIGNED))
     total = signed.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
-    rows = signed.select("block_id", "doc_ids", "sizes", "nodes", "sketches").mapInArrow(_rows, "doc_id long, ref long, node long, n_shingles long, sketch binary")
+    rows = signed.select("block_id", "doc_ids", "sizes", "nodes", "sketches").mapInArrow(C.tidy(_rows), "doc_id long, ref long, node long, n_shingles long, sketch binary")
     # one row for each distinct set
     info = C.checkpoint(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("ref").alias("ref"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")))
     rows = C.checkpoint(rows.drop("sketch"))
     n_buckets = B.buckets(total, 2_000_000)
     nothing = F.lit(None).cast("array<struct<place:int,label:bigint>>").alias("known")
-    met = C.checkpoint(signed.select("block_id", "keys", "members", nothing).mapInArrow(_post(n_buckets), POSTED).groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long"))
+    met = C.checkpoint(signed.select("block_id", "keys", "members", nothing).mapInArrow(C.tidy(_post(n_buckets)), POSTED).groupBy("bucket").applyInArrow(C.tidy(_meet), "kind int, a long, b long"))
     node_of = rows.where("n_shingles > 0").select("ref", "node")
     block_of = F.shiftleft(F.shiftright("ref", 40), 32) + F.shiftright("ref", 24).bitwiseAND(F.lit(0xFFFF))
 
@@ -378,12 +378,12 @@ def join(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", b
     def verified(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs of nodes (a, b), those that are linked."""
         side = lambda c: info.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-        pairs = C.checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_may_link, "a long, b long"))
+        pairs = C.checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(C.tidy(_may_link), "a long, b long"))
         needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(info.select("node", "ref"), "node")
         wanted = needed.groupBy(block_of.alias("block_id")).agg(F.collect_list(F.struct("ref", "node")).alias("wanted"))  # at most a block's documents
-        words = C.checkpoint(blocks.join(wanted, "block_id").mapInArrow(_texts, "node long, words binary"))
+        words = C.checkpoint(blocks.join(wanted, "block_id").mapInArrow(C.tidy(_texts), "node long, words binary"))
         got = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("t_a")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("t_b")), "b")
-        out = C.checkpoint(got.select("a", "b", "t_a", "t_b").mapInArrow(_verify(n), "a long, b long"))
+        out = C.checkpoint(got.select("a", "b", "t_a", "t_b").mapInArrow(C.tidy(_verify(n)), "a long, b long"))
         C.forget(pairs, words)
         return out
 
@@ -408,14 +408,14 @@ def join(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", b
     active = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named_rows = labelled(node_of.join(active, "node", "left_semi"), found, "node", "label")
     known = named_rows.groupBy(block_of.alias("block_id")).agg(F.collect_list(F.struct(F.col("ref").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("place"), "label")).alias("known"))  # at most a block's documents
-    again = signed.select("block_id", "keys", "members").join(known, "block_id").mapInArrow(_post(n_buckets), POSTED)
-    opened = C.checkpoint(again.groupBy("bucket").applyInArrow(_open, "g long, m long, ref long, label long"))
+    again = signed.select("block_id", "keys", "members").join(known, "block_id").mapInArrow(C.tidy(_post(n_buckets)), POSTED)
+    opened = C.checkpoint(again.groupBy("bucket").applyInArrow(C.tidy(_open), "g long, m long, ref long, label long"))
     C.forget(pairs, signed)
     if not opened.isEmpty():
         members = opened.join(node_of, "ref").select("g", "m", "node", "label").distinct().join(info.select("node", "n", "sketch"), "node")
         squares = members.withColumn("k", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("c", F.pmod(F.hash("node"), F.col("k")))
         squares = squares.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("g", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "n", "label", "sketch")
-        links = links.unionByName(verified(squares.groupBy("g", "i", "j").applyInArrow(_cross, "a long, b long").distinct()))
+        links = links.unionByName(verified(squares.groupBy("g", "i", "j").applyInArrow(C.tidy(_cross), "a long, b long").distinct()))
         C.forget(found)
         found = labels(links)
     C.forget(opened, blocks)

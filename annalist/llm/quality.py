@@ -76,11 +76,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.expr("size(filter(w, (x, i) -> i > 0 AND x = w[greatest(i - 1, 0)]))").cast("long").alias("n_stutter"),
-        F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.col("w")).alias("w"),
+        "w",
         hashes.alias("h"),
     )
     # (hash, place) in order of hashes, of texts with some repeated window only; equal hashes count when the words are equal
-    d = d.withColumn("p", F.expr("CASE WHEN w IS NULL THEN array() ELSE array_sort(transform(h, (h, i) -> struct(h, i))) END")).drop("h")
+    d = d.withColumn("p", F.expr("CASE WHEN size(array_distinct(h)) = size(h) THEN array() ELSE array_sort(transform(h, (h, i) -> struct(h, i))) END")).drop("h")
     same = lambda j, k: f"(p[{j}].h = p[{k}].h AND slice(w, p[{j}].i + 1, {WINDOW}) = slice(w, p[{k}].i + 1, {WINDOW}))"
     d = d.withColumn("i", F.expr(f"array_sort(transform(filter(p, (x, j) -> (j > 0 AND {same('greatest(j - 1, 0)', 'j')}) OR (j < size(p) - 1 AND {same('j', 'least(j + 1, size(p) - 1)')})), x -> x.i))"))
     covered = F.expr(f"aggregate(i, struct({-WINDOW} AS last, 0L AS n), (s, i) -> struct(i AS last, s.n + least({WINDOW}, i - s.last) AS n), s -> s.n)")

@@ -92,7 +92,7 @@ def by_section(docs: DataFrame, path: str, pattern: str, rule: str = "first", se
             arrays[0] = pc.if_else(pa.array(np.concatenate(nulls) if nulls else [], pa.bool_()), pa.scalar(None, pa.int64()), arrays[0])
             yield pa.RecordBatch.from_arrays(arrays, schema=_OUT)
 
-    return C.texts(docs, key, text).mapInArrow(run, "doc_id long, section long, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long")
+    return C.texts(docs, key, text).mapInArrow(C.tidy(run), "doc_id long, section long, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long")
 
 
 def by_field(rows: DataFrame, fields: list[str], path: str, pattern: str, rule: str = "first", separator: str = "\n", key: str = "doc_id") -> DataFrame:
@@ -115,4 +115,4 @@ def by_field(rows: DataFrame, fields: list[str], path: str, pattern: str, rule:
                 out += [(doc_id, i, int(at[i]), int(at[i + 1]), float(count[i]), int(cross[i]), len(ends)) for i in range(len(starts))]
             yield C.batch_of(_OUT, out)
 
-    return joined.mapInArrow(run, "doc_id long, section long, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long")
+    return joined.mapInArrow(C.tidy(run), "doc_id long, section long, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long")

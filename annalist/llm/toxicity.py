@@ -353,7 +353,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, key:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(words, pa.binary())], names=["doc_id", "label", "words"])
 
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = rows.mapInArrow(cut, "doc_id long, label int, words binary").collect()  # 2 * per_label rows at most
+    got = rows.mapInArrow(C.tidy(cut), "doc_id long, label int, words binary").collect()  # 2 * per_label rows at most
     got.sort(key=lambda r: r["doc_id"])
     unpress = zstandard.ZstdDecompressor()
     return Sample.of((r["label"], unpress.decompress(bytes(r["words"])).split()) for r in got)
@@ -378,7 +378,7 @@ def with_scores(docs: DataFrame, model: Model | None, text: str = "text") -> Dat
             best = np.zeros(len(raw), np.float64) if m is None else _best(m, raw)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(best)], names=["row", "score"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return rows.mapInArrow(C.tidy(run), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 class _Index(dict):
