@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -47,6 +50,53 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> tiktoken.Encoding:
+    """Takes each text as one piece."""
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(path), special_tokens={})
+
+
+#: Patterns are run by the faster ``re`` on texts whose letters are all below this one.
+NARROW = 0x250
+_KNOWN = re.compile(r"\\p\{[LN]\}|\\[sS]|\\?.", re.S)
+
+
+def narrow(pattern: str) -> re.Pattern | None:
+    """The pattern in the syntax of ``re``, with \\p{L}, \\p{N}, \\s and \\S spelled out for letters below NARROW; None if it
+    has other escapes, options or nested classes."""
+    spelled = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        of = regex.compile(name)
+        spelled[name] = "".join(rf"\u{i:04x}" for i in range(NARROW) if of.match(chr(i)))
+    out, inside = [], False
+    for m in _KNOWN.finditer(pattern):
+        t = m[0]
+        if t in spelled or t == r"\S":
+            if t == r"\S" and inside:
+                return None
+            out.append(spelled[t] if inside else f"[^{spelled[chr(92) + 's']}]" if t == r"\S" else f"[{spelled[t]}]")
+            continue
+        if t[0] == "\\" or (t == "[" and inside) or (t == "?" and out[-1:] == ["("] and pattern[m.end()] not in "!:="):
+            return None
+        inside = t == "[" or (inside and t != "]")
+        out.append(t)
+    return re.compile("".join(out))
+
+
+_WIDE = re.compile(rf"[^\x00-{chr(NARROW - 1)}]")
+
+
+def splitter(pattern: str):
+    """Texts to the matches of a pattern."""
+    wide, fast = regex.compile(pattern), narrow(pattern)
+
+    def split(raw: bytes) -> list[str]:
+        text = raw.decode("utf-8", "replace")
+        return (wide if fast is None or _WIDE.search(text) else fast).findall(text)
+
+    return split
+
+
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> tuple[bytes, ...]:
     """The token-byte table: its size is the vocabulary's."""
@@ -57,6 +107,11 @@ def token_bytes(path: str) -> tuple[bytes, ...]:
     return tuple(table)
 
 
+@lru_cache(maxsize=2)
+def _token_table(path: str) -> pa.Array:
+    return pa.array(token_bytes(path), pa.large_binary())
+
+
 def fingerprint(block: dict) -> int:
     return xxhash.xxh3_64_intdigest(block["word_lengths"] + block["words"]) >> 1
 
@@ -79,15 +134,15 @@ def _ask(n: int):
     return run
 
 
-def _encode_bucket(path: str, pattern: str):
+def _encode_bucket(path: str):
     def run(table: pa.Table) -> pa.Table:
-        encode, known, out = _encoding(path, pattern)._encode_single_piece, {}, []
+        encode, known, out = _pieces(path).encode_ordinary, {}, []
         for i in range(table.num_rows):
             row = {n: table.column(n)[i].as_py() for n in table.column_names}
             ids = []
             for w in C.unpack_words(row["word_lengths"], row["words"]):
                 if (got := known.get(w)) is None:
-                    known[w] = got = encode(w)
+                    known[w] = got = encode(w.decode())
                 ids.append(got)
             flat = [x for got in ids for x in got]
             out.append((row["block_id"], row["print"], row["places"], C.pack(np.fromiter(map(len, ids), np.uint32, len(ids))), C.pack(np.array(flat, np.uint32))))
@@ -112,14 +167,17 @@ def word_ids(replies: list[dict], n_words: int) -> list[list[int]]:
 
 def per_document(docs: DataFrame, path: str, pattern: str, finish, schema: str, arrow: pa.Schema, key: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """finish(doc_ids, lengths, places of words, ids of words) -> pa.Table, called for each block."""
+    split = None
 
-    def splitter(raw: bytes) -> list[str]:
-        return regex.findall(pattern, raw.decode("utf-8", "replace"))
+    def tokenize(raw: bytes) -> list[str]:
+        nonlocal split
+        split = split or splitter(pattern)  # compiled where it runs
+        return split(raw)
 
-    blocks = B.plan(docs, splitter, block_bytes, key, text)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
-    asked = blocks.mapInArrow(_ask(B.buckets(size, 8 << 20)), REQUEST)
-    replies = C.checkpoint(asked.groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), REPLY))
+    blocks = B.plan(docs, tokenize, block_bytes, key, text)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(C.column(text).cast("string"))), F.lit(0))).first()[0]
+    asked = blocks.mapInArrow(C.tidy(_ask(B.buckets(size, 8 << 20))), REQUEST)
+    replies = C.checkpoint(asked.groupBy("bucket").applyInArrow(C.tidy(_encode_bucket(path)), REPLY))
     mine = ["doc_ids", "lengths", "ids", "word_lengths", "words"]
     theirs = ["print", "places", "id_lengths", "word_ids"]
     none = lambda df, cols: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
@@ -132,13 +190,13 @@ def per_document(docs: DataFrame, path: str, pattern: str, finish, schema: str,
             words, own = C.unpack_words(block["word_lengths"], block["words"]), fingerprint(block)
             answers = [r for r in got if r["doc_ids"] is None and r["print"] == own]
             if words and not answers:
-                ids = [_encoding(path, pattern)._encode_single_piece(w) for w in words]
+                ids = [_pieces(path).encode_ordinary(w.decode()) for w in words]
             else:
                 ids = word_ids(answers, len(words))
             out.append(finish(C.unpack_ids(block["doc_ids"]), C.unpack(block["lengths"], np.uint32).tolist(), C.unpack(block["ids"], np.uint32).tolist(), ids))
         return pa.concat_tables(out) if out else arrow.empty_table()
 
-    return both.groupBy("block_id").applyInArrow(join, schema)
+    return both.groupBy("block_id").applyInArrow(C.tidy(join), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -158,28 +216,36 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, raw binary: the bytes of the ids, by the token-byte table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+        table = _token_table(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([b"".join([table[i] for i in ids or ()]) for ids in b.column("ids").to_pylist()], pa.binary())], names=["doc_id", "raw"])
+            ids = pc.fill_null(b.column("ids"), [])
+            raw = table.take(ids.flatten())
+            ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1)[ids.offsets.to_numpy() - ids.offsets[0].as_py()].tolist()
+            data = memoryview(raw.buffers()[2] or b"")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([bytes(data[x:y]) for x, y in pairwise(ends)], pa.binary())], names=["doc_id", "raw"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
+    return encoded.select("doc_id", "ids").mapInArrow(C.tidy(run), "doc_id long, raw binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts, encoded and decoded again."""
 
     def finish(doc_ids, lengths, places, ids):
-        table = token_bytes(path)
         shown = [",".join(map(str, got)).encode() for got in ids]
-        raw = [b"".join([table[i] for i in got]) for got in ids]
+        # the ids of the whole block in order, and where each document's begin
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, a, b, at = [], [], [], 0
-        for m in lengths:
-            mine = places[at : at + m]
-            n.append(int(size[mine].sum()) if m else 0)
-            a.append(hashlib.sha256(b",".join([shown[p] for p in mine])).hexdigest())
-            b.append(hashlib.sha256(b"".join([raw[p] for p in mine])).hexdigest())
-            at += m
-        return pa.table([doc_ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        first, at = np.cumsum(size) - size, np.array(places, np.int64)
+        count = size[at]
+        ends = np.cumsum(count)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))[np.repeat(first[at] - (ends - count), count) + np.arange(int(count.sum()))]
+        bounds = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
+        starts = np.concatenate([[0], ends])[bounds]
+        # decoding: each id joined to the bytes of its token
+        raw = _token_table(path).take(pa.array(flat))
+        byte_ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1)[starts].tolist()
+        data = memoryview(raw.buffers()[2] or b"")
+        a = [hashlib.sha256(b",".join([shown[p] for p in places[x:y]])).hexdigest() for x, y in pairwise(bounds.tolist())]
+        b = [hashlib.sha256(data[x:y]).hexdigest() for x, y in pairwise(byte_ends)]
+        return pa.table([doc_ids, pa.array(np.diff(starts)), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return per_document(docs, path, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]), key, text)

@@ -353,3 +353,13 @@ def test_decontamination_of_odd_tables(spark):
     assert got == sorted(want)
     kept = decontaminate.Index(d, decontaminate.windows(b)).marked().where("n_hit = 0").select("row.*")
     assert kept.columns == d.columns and kept.count() == sum(not w[-1] for w in want)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x260), st.sampled_from(list(" '\n\tsdmltrev1\u00b2\u00e9\x1c\x85"))), max_size=30))
+def test_narrow_pattern_is_the_pattern(text):
+    assert bpe.narrow(P.PATTERN) and bpe.narrow(r"\w+") is None and bpe.narrow(r"(?i)a") is None
+    got = bpe.splitter(P.PATTERN)(text.encode("utf-8", "replace"))
+    t = text.encode("utf-8", "replace").decode()
+    assert got == bpe.regex.findall(P.PATTERN, t)
+    assert [i for w in got for i in bpe._pieces(RANKS).encode_ordinary(w)] == bpe._encoding(RANKS, P.PATTERN).encode_ordinary(t)
