@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Ranges of years of each kind of extraction.
 YEARS_1800 = r"\b(1[89][0-9]{2}|20[0-9]{2})\b"
 YEARS_1900 = r"\b(19[0-9]{2}|20[0-9]{2})\b"
-DECADES_1800 = r"(?i)\b(?:the\s+)?(1[89][0-9]0|20[0-9]0)s\b"
+YEARS_OR_DECADES = r"(?i)\b((?:1[89][0-9]{2}|20[0-9]{2})s?)\b"
 DECADE_OF_YEAR = r"\b((?:19|20)[0-9])[0-9]\b"
 
 # Phrases of queries and the years they stand for, first and last.
@@ -31,14 +31,14 @@ PHRASES = {
 
 # Relative phrases with the first and last year they stand for, counted from the current one.
 RELATIVE = {
-    r"\brecently\b": (-2, 0),
-    r"\bcurrently\b": (0, 0),
-    r"\btoday\b": (0, 0),
-    r"\blast\s+year\b": (-1, -1),
-    r"\bthis\s+year\b": (0, 0),
-    r"\blast\s+decade\b": (-10, -1),
+    "recently": (-2, 0),
+    "currently": (0, 0),
+    "today": (0, 0),
+    "last year": (-1, -1),
+    "this year": (0, 0),
+    "last decade": (-10, -1),
 }
-PAST_YEARS = r"\bpast\s+([0-9]+)\s+years?\b"
+PAST_YEARS = r"past\s+[0-9]+\s+years?"
 LONGEST_PAST = 10_000  # years; keeps "past N years" from making arrays of any size
 
 
@@ -66,10 +66,11 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def explicit_years(text: Column | str) -> Column:
-    """Years 1800-2099, and the ten years of each decade that is written out."""
-    t = _c(text)
-    decades = F.flatten(F.transform(_found(t, DECADES_1800), lambda d: F.sequence(d, d + 9)))
-    return year_set(F.concat(_found(t, YEARS_1800), decades))
+    """Years 1800-2099, and the ten years of each decade that is written out ("1990s"); one pass over the text."""
+    found = F.array_distinct(F.regexp_extract_all(_c(text), F.lit(YEARS_OR_DECADES), F.lit(1)))
+    first = lambda x: F.substring(x, 1, 4).cast("int")
+    decade = lambda x: F.when(F.substring(x, 4, 1) == "0", F.sequence(first(x), first(x) + 9)).otherwise(none())
+    return year_set(F.flatten(F.transform(found, lambda x: F.when(F.length(x) == 4, F.array(first(x))).otherwise(decade(x)))))
 
 
 def years_1900(text: Column | str) -> Column:
@@ -78,26 +79,30 @@ def years_1900(text: Column | str) -> Column:
 
 
 def phrase_years(text: Column | str) -> Column:
-    """Years of the PHRASES in a text; a phrase inside a longer one that is there too doesn't count."""
-    t = F.lower(_c(text))
-    there = {p: t.rlike(rf"\b{p}\b") for p in PHRASES}
-    parts = []
-    for p, (a, b) in PHRASES.items():
-        hit = there[p]
-        for longer in (q for q in PHRASES if q != p and p in q):
-            hit = hit & ~there[longer]
-        parts.append(F.when(hit, year_range(a, b)).otherwise(none()))
-    return year_set(F.concat(*parts))
+    """Years of the PHRASES in a text; a phrase inside a longer one that is there too doesn't count.  One pass over the
+    text, for the longest phrase at each place."""
+    either = "|".join(sorted(PHRASES, key=lambda p: (-len(p), p)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(_c(text)), F.lit(rf"\b({either})\b"), F.lit(1)))
+    whole = F.filter(found, lambda p: ~F.exists(found, lambda q: (q != p) & F.contains(q, p)))
+    spans = F.create_map(*(x for p, (a, b) in PHRASES.items() for x in (F.lit(p), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))))
+    return year_set(F.flatten(F.transform(whole, lambda p: F.sequence(spans[p]["a"], spans[p]["b"]))))
 
 
 def relative_years(text: Column | str, current_year: Column | int) -> Column:
-    """Years of relative phrases, counted from a given current year."""
-    t, now = F.lower(_c(text)), F.lit(current_year) if isinstance(current_year, int) else current_year
-    parts = [F.when(t.rlike(p), year_range(now + a, now + b)).otherwise(none()) for p, (a, b) in RELATIVE.items()]
-    digits = F.regexp_extract(t, PAST_YEARS, 1)
-    n = F.when(F.length(digits) < 6, F.least(F.when(digits == "", F.lit("0")).otherwise(F.substring(digits, 1, 5)).cast("int"), F.lit(LONGEST_PAST))).otherwise(F.lit(LONGEST_PAST))
-    parts.append(F.when(t.rlike(PAST_YEARS), year_range(now - n, now)).otherwise(none()))
-    return year_set(F.concat(*parts))
+    """Years of relative phrases, counted from a given current year; one pass over the text."""
+    now = F.lit(current_year) if isinstance(current_year, int) else current_year
+    either = "|".join([*(p.replace(" ", r"\s+") for p in RELATIVE), PAST_YEARS])
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(_c(text)), F.lit(rf"\b({either})\b"), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", " ")))
+
+    def years(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"[0-9]+", 0)
+        n = F.when(F.length(digits) < 6, F.least(F.substring(digits, 1, 5).try_cast("int"), F.lit(LONGEST_PAST))).otherwise(F.lit(LONGEST_PAST))
+        out = F.when(digits != "", year_range(now - n, now))
+        for p, (a, b) in RELATIVE.items():
+            out = out.when(x == p, year_range(now + a, now + b))
+        return out.otherwise(none())
+
+    return year_set(F.flatten(F.transform(found, years)))
 
 
 def query_years(text: Column | str, current_year: Column | int) -> Column:

@@ -2,9 +2,9 @@
 
 A judge is any object with ``answer(kind, row) -> str`` (JSON in the shape of CONTRACTS[kind]); it runs in
 ``mapInArrow`` batches.  One that can't take long texts has ``limits``: the characters it gets of a column, by
-the column's name (the reference's prompts: 2,000 of doc, 8,000 of context, all of answer).  Verdicts are keyed by (query_id, doc_id, judge, kind, version): ``resume`` asks only for
+the column's name (prompts usually take 2,000 of doc, 8,000 of context and all of answer).  Verdicts are keyed by (query_id, doc_id, judge, kind, version): ``resume`` asks only for
 those that a table doesn't hold yet (an anti-join), since tasks may run twice and calls may cost money.
-``RuleJudge`` answers by sets of years, deterministically.
+``RuleJudge`` answers by sets of years, deterministically; a judge with ``columns(kind, rows)`` is asked in column expressions.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sets
 from ..functions.text import json_answer
+from ..functions.years import YEARS_1800, none, year_set
 from ..shipping import ship
 
 #: The fields of each kind of verdict.
@@ -76,10 +78,48 @@ def _years(x) -> set[int]:
 
 class RuleJudge:
     """By the years in query, document, answer and context: rows hold any of qft, dft (or query, doc), answer,
-    context, baseline, comparison."""
+    context, baseline, comparison.  ``columns`` gives the same verdicts inside the JVM."""
 
     name = "rules"
 
+    def columns(self, kind: str, rows: DataFrame) -> Column:
+        """The verdict as a struct of the contract's fields."""
+        types = dict(rows.dtypes)
+
+        def found(*names: str) -> Column:
+            out = [F.col(n) if types[n].startswith("array") else F.transform(F.regexp_extract_all(F.col(n).cast("string"), F.lit(YEARS_1800), F.lit(1)), lambda x: x.cast("int")) for n in names if n in types]
+            return F.coalesce(*out, none()) if out else none()
+
+        def holds(years: Column, name: str) -> Column:
+            return F.coalesce(F.array_contains(years, F.col(name).cast("int")), F.lit(False)) if name in types else F.lit(False)
+
+        q, d, a, c = (year_set(found(*names)) for names in (("qft", "query"), ("dft", "doc"), ("answer",), ("context",)))
+        any_, share = sets.overlap(q, d) > 0, sets.jaccard(q, d)
+        known = F.when(F.size(a) > 0, sets.ratio(sets.overlap(a, c), F.size(a))).otherwise(1.0)
+        met = sets.ratio(sets.overlap(a, q), F.size(q))
+        written = F.array_distinct(found("answer"))
+        scores = {
+            "faithfulness": known,
+            "hallucination": 1 - known,
+            "coherence": F.when(F.size(a) < 3, 1.0).otherwise(2.0 / F.greatest(F.size(a), F.lit(1))),
+            "alignment": met,
+            "ordering": (written == a).cast("double"),
+            "duration": met,
+            "cross_period": (holds(a, "baseline").cast("int") + holds(a, "comparison").cast("int")) / 2.0,
+        }
+        fields = {
+            "precision": lambda: [any_.cast("int")],
+            "recall": lambda: [any_, F.round(share, 6)],
+            "mrr": lambda: [any_],
+            "ndcg": lambda: [F.round(4 * share, 6)],
+            "coverage": lambda: [holds(d, "baseline"), holds(d, "comparison")],
+            "anchors": lambda: [F.transform(d, lambda y: y.cast("string"))],
+            "periods": lambda: [year_set(F.transform(d, lambda y: (F.floor(y / 5) * 5).cast("int")))],
+            "years": lambda: [d],
+        }
+        values = fields[kind]() if kind in fields else [F.round(scores[kind], 6)]
+        return F.struct(*(v.alias(f.split()[0]) for v, f in zip(values, CONTRACTS[kind].split(", "), strict=True)))
+
     def answer(self, kind: str, row: dict[str, Any]) -> str:
         q = _years(row.get("qft") if row.get("qft") is not None else row.get("query"))
         d = _years(row.get("dft") if row.get("dft") is not None else row.get("doc"))
@@ -125,13 +165,20 @@ def get_judge(name: str | Judge, **options) -> Judge:
     return JUDGES[name.lower()](**options)
 
 
+def _limited(rows: DataFrame, who: Judge, keys: tuple[str, ...]) -> DataFrame:
+    limits = getattr(who, "limits", {})
+    return rows.select(*(F.substring(c, 1, limits[c]).alias(c) if t == "string" and c in limits and c not in keys else F.col(c) for c, t in rows.dtypes))
+
+
 def judge(rows: DataFrame, kind: str, by: str | Judge = "rules", keys: tuple[str, ...] = ("query_id", "doc_id"), version: str = "1") -> DataFrame:
     """keys, judge, kind, version, payload (JSON, null after an error), error.  Judges get whole texts, but for the
     columns in their ``limits``, which are cut before they leave the JVM."""
-    ship(rows.sparkSession)
     who = get_judge(by)
-    limits = getattr(who, "limits", {})
-    cut = rows.select(*(F.substring(c, 1, limits[c]).alias(c) if t == "string" and c in limits and c not in keys else F.col(c) for c, t in rows.dtypes))
+    cut = _limited(rows, who, keys)
+    if hasattr(who, "columns"):
+        said = [F.lit(who.name).alias("judge"), F.lit(kind).alias("kind"), F.lit(version).alias("version")]
+        return cut.select(*keys, *said, F.to_json(who.columns(kind, cut)).alias("payload"), F.lit(None).cast("string").alias("error"))
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,6 +203,18 @@ def resume(rows: DataFrame, kept: DataFrame, kind: str, by: str | Judge = "rules
     return judge(rows.join(done, list(keys), "left_anti"), kind, by, keys, version)
 
 
+def verdicts(rows: DataFrame, kinds: tuple[str, ...], by: str | Judge = "rules", keys: tuple[str, ...] = ("query_id", "doc_id"), version: str = "1") -> DataFrame:
+    """rows with a struct of the contract's fields for each kind, in one pass where the judge works on columns, else
+    joined by keys."""
+    who = get_judge(by)
+    if hasattr(who, "columns") and not getattr(who, "limits", None):
+        return rows.select("*", *(who.columns(kind, rows).alias(kind) for kind in kinds))
+    for kind in kinds:
+        got = judge(rows, kind, who, keys, version).select(*keys, json_answer("payload", CONTRACTS[kind]).alias(kind))
+        rows = rows.join(got, list(keys), "left")
+    return rows
+
+
 def parsed(judgments: DataFrame, kind: str) -> DataFrame:
     """Judgments of a kind with the fields of its contract; null where there is none."""
     return judgments.where(F.col("kind") == kind).withColumn("_p", json_answer("payload", CONTRACTS[kind])).select("*", "_p.*").drop("_p")

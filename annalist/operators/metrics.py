@@ -19,6 +19,8 @@ from ..functions.years import year_set
 
 KS = (5, 10, 20)
 FOCUS = ("temporal_precision", "temporal_recall", "temporal_ndcg", "temporal_mrr", "temporal_map", "temporal_year_precision", "temporal_year_recall", "temporal_diversity")
+# Kinds of questions about change.
+CHANGE = ("change_over_time", "trends_changes", "trends_changes_and_cross_period")
 GOLD = ("temporal_recall", "temporal_ndcg", "temporal_mrr")
 
 
@@ -79,7 +81,7 @@ def gold(run: DataFrame, qrels: DataFrame, ks=KS, metrics=GOLD) -> DataFrame:
     labels = qrels.where("gain > 0").groupBy("query_id", F.col("doc_id").cast("string").alias("doc_id")).agg(F.max("gain").cast("double").alias("gain"))
     q = Window.partitionBy("query_id")
     first = run.groupBy("query_id", F.col("doc_id").cast("string").alias("doc_id")).agg(F.min("rank").alias("rank"))
-    listed = first.join(labels, ["query_id", "doc_id"], "left")
+    listed = first.join(labels, ["query_id", "doc_id"], "full")  # a query with labels and an empty list scores 0
     ideal = labels.withColumn("_i", F.row_number().over(q.orderBy(F.col("gain").desc(), "doc_id")))
     best = ideal.groupBy("query_id").agg(F.count("*").alias("_n"), *(F.sum(F.when(F.col("_i") <= k, _discounted(F.col("gain"), F.col("_i")))).alias(f"_ideal{k}") for k in ks))
     aggs = []
@@ -113,7 +115,7 @@ def persistence(target: Column, baseline: Column) -> Column:
 def judged(judgments: DataFrame, ks=KS) -> DataFrame:
     """Metrics by judges' verdicts: query_id, rank, and verdict (0/1), is_relevant, relevance_score, graded (0-4),
     covers_baseline, covers_comparison; nulls are failed judgments.  full_coverage: the binary gain of gold
-    labels is in ``gain``."""
+    labels is in ``gain``.  With a column temporal_focus, coverage is 0 for queries about anything but change."""
     q = Window.partitionBy("query_id")
     r = judgments.withColumn("_hit", F.coalesce(F.col("verdict") == 1, F.lit(False))).withColumn("_gain", F.least(F.lit(4.0), F.greatest(F.lit(0.0), F.coalesce(F.col("graded"), F.lit(0.0)))))
     r = r.withColumn("_seen", F.sum(F.col("_hit").cast("int")).over(q.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
@@ -126,6 +128,8 @@ def judged(judgments: DataFrame, ks=KS) -> DataFrame:
         hits = F.sum((top & F.col("_hit")).cast("int"))
         yes = F.coalesce(F.col("is_relevant"), F.lit(False))
         covered = (F.max((top & F.coalesce("covers_baseline", F.lit(False))).cast("int")) + F.max((top & F.coalesce("covers_comparison", F.lit(False))).cast("int"))) / 2.0
+        if "temporal_focus" in judgments.columns:
+            covered = F.when(F.first("temporal_focus", ignorenulls=True).isin(*CHANGE), covered).otherwise(0.0)
         first = 1.0 / F.min(F.when(top & yes, F.col("rank")))
         made = {
             "judged_precision": sets.ratio(F.sum(F.when(top & F.col("_hit"), F.col("_seen") / F.col("rank"))), hits),

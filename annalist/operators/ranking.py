@@ -8,6 +8,7 @@ every document partition, and keeps its k best before anything is shuffled.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql.window import Window
 
 from ..shipping import ship
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 256
+QUERY_BYTES = 64 << 20
 
 
 def top_k(scores: DataFrame, k: int = 1000, query: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -38,9 +40,9 @@ def cut(run: DataFrame, k: int) -> DataFrame:
 
 
 def terms(text: Column | str) -> Column:
-    """Lower-case runs of letters a-z and digits."""
+    """Runs of letters A-Z, in lower case, and digits; other letters stand between terms, in any language."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.array_remove(F.split(F.translate(F.coalesce(c, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9]+"), "")
 
 
 def keyword_overlap(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
@@ -54,22 +56,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 100, k1: float = 0.9, b:
     """query_id, doc_id, score, rank by BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)) and
     weight = idf * tf / (tf + k1 (1 - b + b * length / mean length)).  The query's terms are weighted the
     same way (with the corpus's idf and mean length), or by their counts for query_weighting "tf"."""
-    bag = lambda df, key, text: df.select(key, F.explode(terms(text)).alias("term"))
-    d = docs.select("doc_id", terms("text").alias("t"))
-    size = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    tf = d.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-    wanted = bag(queries, "query_id", "query").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    long = queries.select("query_id", F.size(terms("query")).alias("qlength"))
+    wanted = queries.select("query_id", terms("query").alias("t")).select("query_id", F.size("t").alias("qlength"), F.explode("t").alias("term")).groupBy("query_id", "qlength", "term").agg(F.count("*").alias("qtf"))
     asked = wanted.select("term").distinct()
-    tf = tf.join(asked, "term", "left_semi")  # only postings that some query asks for
+    # only postings that some query asks for; counted before they are shuffled
+    d = docs.select("doc_id", terms("text").alias("t")).select("doc_id", F.size("t").alias("length"), "t")
+    size = docs.select(F.size(terms("text")).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()  # one row
+    tf = d.select("doc_id", "length", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = df.crossJoin(F.broadcast(size))  # size: one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weigh = lambda f, length: idf * F.col(f) / (F.col(f) + k1 * (1 - b + b * F.col(length) / F.col("mean")))
-    docs_w = tf.join(stats, "term").select("term", "doc_id", weigh("tf", "length").alias("wd"))
-    q = wanted.join(long, "query_id").join(stats, "term")
-    queries_w = q.select("query_id", "term", (weigh("qtf", "qlength") if query_weighting == "bm25" else F.col("qtf").cast("double")).alias("wq"))
-    return top_k(docs_w.join(queries_w, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("wd") * F.col("wq")), 6).alias("score")), k)
+    n, mean = F.lit(size["n"]), F.lit(size["mean"] or 1.0)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    stats = df.select("term", idf.alias("idf"))
+    weigh = lambda f, length: F.col("idf") * F.col(f) / (F.col(f) + k1 * (1 - b + b * F.col(length) / mean))
+    q = wanted.join(stats, "term")
+    queries_w = q.select("query_id", "term", "idf", (weigh("qtf", "qlength") if query_weighting == "bm25" else F.col("qtf").cast("double")).alias("wq"))
+    return top_k(tf.join(queries_w, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weigh("tf", "length") * F.col("wq")), 6).alias("score")), k)
 
 
 def cosine(queries: DataFrame, docs: DataFrame, k: int = 100, vector: str = "embedding", digits: int = 6) -> DataFrame:
@@ -77,20 +77,17 @@ def cosine(queries: DataFrame, docs: DataFrame, k: int = 100, vector: str = "emb
     vector has similarity 0 with all."""
     spark = docs.sparkSession
     ship(spark)
-    mine = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    n = mine.count()
-    out = None
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        part = mine if n <= QUERY_BLOCK else mine.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == block)
-        rows = part.orderBy("query_id").collect()  # about QUERY_BLOCK rows
-        if not rows:
-            continue
-        ids = np.array([r["query_id"] for r in rows], np.int64)
-        near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").mapInArrow(_nearest(ids, _unit(np.array([r["v"] for r in rows], float)), k, digits), "query_id long, doc_id long, score double")
-        out = near if out is None else out.unionByName(near)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    return top_k(out, k)
+    vectors = lambda df, key: df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    asked = vectors(queries, "query_id")
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("v") + 8), F.lit(0))).first()[0]
+    if size > QUERY_BYTES:
+        raise ValueError(f"the stated query set holds {size} bytes of vectors; at most {QUERY_BYTES} are sent to each executor: ask in several calls")
+    got = asked.toPandas().sort_values("query_id")
+    if got.empty:
+        return top_k(spark.createDataFrame([], "query_id long, doc_id long, score double"), k)
+    sent = spark.sparkContext.broadcast((got["query_id"].to_numpy(np.int64), _unit(np.array(got["v"].tolist(), float))))
+    near = vectors(docs, "doc_id").mapInArrow(_nearest(sent, k, digits), "query_id long, doc_id long, score double")
+    return top_k(near, k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -98,17 +95,28 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1)
 
 
-def _nearest(ids: np.ndarray, q: np.ndarray, k: int, digits: int) -> Callable:
+def _nearest(sent, k: int, digits: int) -> Callable:
+    """Of a partition of documents, the k nearest of each query: what is kept meets each batch anew."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
         for b in batches:
             if not b.num_rows:
                 continue
             docs = b.column("doc_id").to_numpy()
-            s = np.round(q @ _unit(np.array(b.column("v").to_pylist(), float)).T, digits)
-            for i in range(len(ids)):
-                # by score, then id: ties at the border stay in order
-                best = np.lexsort((docs, -s[i]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(docs[best]), pa.array(s[i][best])], names=["query_id", "doc_id", "score"])
+            m = _unit(np.array(b.column("v").to_pylist(), float)).T
+            for lo in range(0, len(ids), QUERY_BLOCK):
+                for i, s in enumerate(np.round(q[lo : lo + QUERY_BLOCK] @ m, digits), lo):
+                    # all that reach the k-th score, then by score and id: ties at the border stay in order
+                    near = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1]) if len(s) > k else np.arange(len(s))
+                    d, x = np.concatenate([best[i][0], docs[near]]), np.concatenate([best[i][1], s[near]])
+                    order = np.lexsort((d, -x))[:k]
+                    best[i] = d[order], x[order]
+        for lo in range(0, len(ids), QUERY_BLOCK):
+            some = best[lo : lo + QUERY_BLOCK]
+            sizes = [len(d) for d, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + QUERY_BLOCK], sizes)), pa.array(np.concatenate([d for d, _ in some])), pa.array(np.concatenate([x for _, x in some]))], names=["query_id", "doc_id", "score"])
 
     return run
 
@@ -160,3 +168,21 @@ def embed(docs: DataFrame, encoder: str | Callable = "hashing", key: str = "doc_
 
     rows = docs.select(key, F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text_hash long, embedding array<float>")
+
+
+#: name -> retriever(docs, queries, k) -> query_id, doc_id, score, rank.
+RETRIEVERS: dict[str, Callable[..., DataFrame]] = {"bm25": bm25, "keyword": keyword_overlap, "cosine": lambda docs, queries, k=100, **options: cosine(queries, docs, k, **options)}
+
+
+def register_retriever(name: str, retriever: Callable[..., DataFrame]) -> None:
+    RETRIEVERS[name.lower()] = retriever
+
+
+def get_retriever(name: str) -> Callable[..., DataFrame]:
+    if name.lower() not in RETRIEVERS:
+        raise ValueError(f"no retriever named {name}; known: {', '.join(list_retrievers())}")
+    return RETRIEVERS[name.lower()]
+
+
+def list_retrievers() -> list[str]:
+    return sorted(RETRIEVERS)

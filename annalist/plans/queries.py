@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import sets, spans, text, years
-from ..operators import efficiency, guidance, judge, meta, metrics, ranking, reasoning, results
+from ..operators import efficiency, evaluate, guidance, judge, meta, metrics, ranking, reasoning, results
 from ..sources import datasets
 from ..streaming import ops as stream_ops
 from . import scenario as S
@@ -109,47 +110,37 @@ def excluded_documents(spark, d):
     return ranking.exclude(r, r.where("doc_id % 11 = 0").select("query_id", "doc_id")).select("query_id", "doc_id")
 
 
-_BAG = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '([a-z0-9]+)', 1))"
+_TERMS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([a-z0-9]+)', 1)"
+_BAG = f"list_distinct({_TERMS})"
 
 
 @query(f"""SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT item_id AS query_id, unnest({_BAG.format('text')}) AS term FROM benchmark) JOIN (SELECT doc_id, unnest({_BAG.format('text')}) AS term FROM documents WHERE lang = 'en') USING (term) GROUP BY 1, 2)) WHERE rank <= 10""")
+  SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT item_id AS query_id, unnest({_BAG.format('text')}) AS term FROM benchmark) JOIN (SELECT doc_id, unnest({_BAG.format('text')}) AS term FROM documents) USING (term) GROUP BY 1, 2)) WHERE rank <= 10""")
 def keyword_overlap(spark, d):
-    return ranking.keyword_overlap(S.table(spark, d, "documents").where("lang = 'en'"), S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
+    return ranking.get_retriever("keyword")(S.table(spark, d, "documents"), _asked(spark, d), 10)
 
 
-@query("""SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-  WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w FROM documents WHERE lang = 'en'), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
+@query(f"""SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  WITH t AS (SELECT doc_id, {_TERMS.format('text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
   tf AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-  q AS (SELECT query_id, qlength, term, count(*) AS tf FROM (SELECT item_id AS query_id, len(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS qlength, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS term FROM benchmark) GROUP BY ALL),
+  q AS (SELECT query_id, qlength, term, count(*) AS tf FROM (SELECT item_id AS query_id, len({_TERMS.format('text')}) AS qlength, unnest({_TERMS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
   idf AS (SELECT term, mean, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df, n)
   SELECT query_id, doc_id, round(sum(idf * tf.tf / (tf.tf + 0.9 * (1 - 0.4 + 0.4 * length / mean)) * (idf * q.tf / (q.tf + 0.9 * (1 - 0.4 + 0.4 * qlength / mean)))), 6) AS score
   FROM q JOIN tf USING (term) JOIN idf USING (term) GROUP BY 1, 2)) WHERE rank <= 10""")
 def bm25(spark, d):
-    return ranking.bm25(S.table(spark, d, "documents").where("lang = 'en'"), S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
+    """Over the whole table, with N, df and the mean length of all languages."""
+    return ranking.get_retriever("bm25")(S.table(spark, d, "documents"), _asked(spark, d), 10)
 
 
 def _asked(spark, d):
     return S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query(None)
-def keyword_overlap_all_languages(spark, d):
-    """keyword_overlap over the whole table: its SQL, and so the query of that name, ranks English documents only."""
-    return ranking.keyword_overlap(S.table(spark, d, "documents"), _asked(spark, d), 10)
-
-
-@query(None)
-def bm25_all_languages(spark, d):
-    """bm25 over the whole table, with N, df and the mean length of all languages."""
-    return ranking.bm25(S.table(spark, d, "documents"), _asked(spark, d), 10)
-
-
-@query("""SELECT query_id, doc_id, round(round(score, 6), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM (
+@query("""SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE rank <= 10""")
 def cosine_top_k(spark, d):
     e = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return ranking.cosine(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return ranking.cosine(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e, 10).select("query_id", "doc_id", "score")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
@@ -256,11 +247,8 @@ _JUDGED = f"""SELECT query_id, metric, k, round(coalesce(CASE metric
 
 def _judgments(spark, d):
     """The rule judge's verdicts of each kind on each ranked document, joined by rank."""
-    rows = S.ranked(spark, d).where("rank <= 20").select("query_id", "doc_id", "rank", "qft", "dft", F.col("qft")[0].alias("baseline"), F.col("qft")[1].alias("comparison"))
-    out = rows.select("query_id", "doc_id", "rank")
-    for kind, fields in {"precision": ["verdict"], "recall": ["is_relevant", "relevance_score"], "ndcg": ["relevance_score AS graded"], "coverage": ["covers_baseline", "covers_comparison"]}.items():
-        out = out.join(judge.parsed(judge.judge(rows, kind), kind).selectExpr("query_id", "doc_id", *fields), ["query_id", "doc_id"])
-    return out
+    rows = S.ranked(spark, d).withColumns({"baseline": F.col("qft")[0], "comparison": F.col("qft")[1]})
+    return evaluate.judged_run(evaluate.Inputs(rows.select("query_id"), rows), evaluate.Config())
 
 
 @query(_JUDGED)
@@ -288,11 +276,9 @@ def _answers(spark, d):
   round(CASE WHEN len(aft) < 3 THEN 1.0 ELSE round(2.0 / len(aft), 6) END, 5) AS coherence FROM ({_SQL_ANSWERS})""")
 def generation_judgments(spark, d):
     rows = _answers(spark, d).withColumn("doc_id", F.col("status")).withColumn("qft", S.asked_years("query_id")).withColumn("context", F.lit("1995 1996 1997 1998"))
-    out = rows.select("query_id", "status")
-    for kind in ("alignment", "faithfulness", "hallucination", "coherence"):
-        j = judge.parsed(judge.judge(rows, kind, keys=("query_id", "status")), kind)
-        out = out.join(j.select("query_id", "status", F.round(judge.CONTRACTS[kind].split()[0], 5).alias(kind)), ["query_id", "status"])
-    return out
+    kinds = ("alignment", "faithfulness", "hallucination", "coherence")
+    said = judge.verdicts(rows, kinds, keys=("query_id", "status"))
+    return said.select("query_id", "status", *(F.round(F.col(f"{kind}.{judge.CONTRACTS[kind].split()[0]}"), 5).alias(kind) for kind in kinds))
 
 
 @query(f"SELECT query_id, status, round(len(list_intersect(aft, [1995 + query_id % 7, 1995 + (query_id + 3) % 7])) / 2.0, 5) AS score FROM ({_SQL_ANSWERS})")
@@ -431,7 +417,7 @@ def query_collection(spark, d):
     return datasets.flat(q, "c_mktsegment").select("query_id", "query", "baseline_anchor", "is_cross_period", F.col("c_mktsegment").alias("segment"))
 
 
-@query(None)
+@query("SELECT c_custkey AS query_id, c_name FROM customer ORDER BY md5('42/' || c_custkey), c_custkey LIMIT 100")
 def seeded_sample(spark, d):
     return datasets.sample(S.table(spark, d, "customer").withColumnRenamed("c_custkey", "query_id"), 100).select("query_id", "c_name")
 
@@ -446,16 +432,25 @@ def guidance_resume(spark, d):
     return a.select("id", F.col("query_guidance.expected_granularity").alias("granularity"), F.array_join("query_guidance.key_time_anchors", ",").alias("anchors"), F.size("query_guidance.retrieval_plan").alias("steps"), F.size("gold_passage_annotations").alias("n_gold"))
 
 
-@query("SELECT query_id AS case_id, s0 > 0 AND true AS passed FROM (SELECT query_id, round(sum(sim), 6) AS s0 FROM rel WHERE rank <= 3 GROUP BY 1)")
+_MOVED = "[y + 1 FOR y IN qft]"
+
+
+@query(f"SELECT case_id, expected, CASE expected WHEN 'lower' THEN s1 < s0 WHEN 'higher' THEN s1 > s0 ELSE abs(s1 - s0) < 1e-6 END AS passed FROM (SELECT query_id AS case_id, ['lower', 'higher', 'same'][query_id % 3 + 1] AS expected, round(sum(sim), 6) AS s0, round(sum(len(list_intersect({_MOVED}, dft)) * 1.0 / len(list_distinct(list_concat({_MOVED}, dft)))), 6) AS s1 FROM rel GROUP BY 1)")
 def perturbation_check(spark, d):
-    """Moving every year of a query by a century lowers its similarity to what it asked for, where there was any."""
-    r = S.ranked(spark, d).where("rank <= 3")
+    """Moving every year of a query by one: the sum of its similarities with what it asked for falls, rises or stays."""
+    r = S.ranked(spark, d)
     score = lambda q: r.groupBy(F.col("query_id").alias("case_id")).agg(F.round(F.sum(sets.jaccard(q, F.col("dft"))), 6).alias("score"))
-    moved = F.transform("qft", lambda y: y + 100)
-    return meta.validate(score(F.col("qft")).withColumn("expected", F.lit("lower")), score(moved)).select("case_id", "passed")
+    moved = F.transform("qft", lambda y: y + 1)
+    expected = F.element_at(F.array(*map(F.lit, ("lower", "higher", "same"))), (F.col("case_id") % 3 + 1).cast("int"))
+    return meta.validate(score(F.col("qft")).withColumn("expected", expected), score(moved)).select("case_id", "expected", "passed")
+
+
+_HASH = "CAST(('0x' || substr(md5('0/' || {}), 1, 8)) AS BIGINT)"
+_SCRAMBLED = f"array_to_string(list_transform(string_split(regexp_replace(text, '\\b(19[0-9]{{2}}|20[0-9]{{2}})\\b', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda p: CASE WHEN regexp_full_match(p, '19[0-9]{{2}}|20[0-9]{{2}}') THEN CAST(CAST(p AS INTEGER) + {_HASH.format('text')} % 20 + 3 AS VARCHAR) ELSE p END), '')"
+_SHUFFLED = "array_to_string(list_transform(list_sort(list_transform(string_split(text, '. '), lambda s: {'h': md5('0/' || s), 's': s})), lambda x: x.s), '. ')"
 
 
-@query(None)
+@query(f"SELECT doc_id, {_SCRAMBLED} AS scrambled, {_SHUFFLED} AS shuffled, text || ' ' || [{', '.join(repr(x) for x in meta.STATEMENTS)}][{_HASH.format('text')} % 3 + 1] AS injected FROM texts")
 def perturbed_texts(spark, d):
     t = S.order_texts(spark, d)
     return t.select("doc_id", meta.scramble_years(F.col("text")).alias("scrambled"), meta.shuffle_events(F.col("text")).alias("shuffled"), meta.inject_hallucination(F.col("text")).alias("injected"))
@@ -475,3 +470,59 @@ def windowed_operations(spark, d):
 def operation_sessions(spark, d):
     s = stream_ops.sessions(S.operations(spark, d), lateness=None)
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n_ops", F.round("sum_ms", 4).alias("sum_ms"))
+
+
+# The front door
+
+_EVALUATED = ["focus_temporal_precision", "focus_temporal_year_recall", "gold_temporal_recall", "gold_temporal_mrr", "temporal_relevance", "temporal_consistency", "temporal_faithfulness"]
+
+
+def _inputs(spark, d, run=None):
+    """All customers as queries, also those without orders."""
+    queries = S.table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
+    answers = _answers(spark, d).select("query_id", F.col("status").alias("sample_id"), years.document_years("answer").alias("years"))
+    return evaluate.Inputs(queries, S.ranked(spark, d) if run is None else run, S.qrels(spark, d, False), answers)
+
+
+def _sql_evaluated(where: str = "true") -> str:
+    focus = " UNION ALL ".join(f"SELECT query_id, 'focus_{m}' AS metric, k, score FROM ({_SQL_FOCUS[m]})" for m in ("temporal_precision", "temporal_year_recall"))
+    gold = " UNION ALL ".join(f"SELECT query_id, 'gold_{m}' AS metric, k, score FROM ({_SQL_GOLD[m]})" for m in ("temporal_recall", "temporal_mrr"))
+    judged = f"SELECT query_id, metric, k, score FROM ({_JUDGED}) WHERE metric = 'temporal_relevance'"
+    same = f"SELECT query_id, 'temporal_consistency' AS metric, 0 AS k, score FROM ({ORACLE['temporal_consistency'].removeprefix(f'WITH {S.SQL} ')})"
+    grid = "SELECT c_custkey AS query_id, metric, k, error FROM customer, (SELECT unnest(['focus_temporal_precision', 'focus_temporal_year_recall', 'gold_temporal_recall', 'gold_temporal_mrr', 'temporal_relevance']) AS metric, unnest([[5, 10, 20], [5, 10, 20], [5, 10, 20], [5, 10, 20], [5, 10, 20]]) AS kk, NULL AS error), ks WHERE list_contains(kk, k) UNION ALL SELECT c_custkey, unnest(['temporal_consistency', 'temporal_faithfulness']), 0, unnest([NULL, 'lacks answer_texts.answer']) FROM customer"
+    return f"SELECT g.query_id, g.metric, CASE WHEN g.k > 0 THEN CAST(g.k AS INTEGER) END AS k, CASE WHEN g.k > 0 THEN coalesce(f.score, 0.0) ELSE f.score END AS score, CAST(g.error AS VARCHAR) AS error FROM ({grid}) g LEFT JOIN ({focus} UNION ALL {gold} UNION ALL {judged} UNION ALL {same}) f USING (query_id, metric, k)"
+
+
+@query(_sql_evaluated())
+def evaluate_all(spark, d):
+    """Seven metrics of four families at all cut-offs; one lacks its table and has errors; customers without orders score 0."""
+    return evaluate.evaluate(_inputs(spark, d), _EVALUATED, KS)
+
+
+@query(f"SELECT run_id, query_id, k, score FROM (SELECT 'price' AS run_id, query_id, k, score FROM ({_SQL_GOLD['temporal_mrr']}) UNION ALL SELECT 'id', query_id, k, round(coalesce(1.0 / min(r) FILTER (priority <= 2 AND r <= k), 0.0), 5) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS r FROM run), ks GROUP BY query_id, k)")
+def run_suite(spark, d):
+    """Two runs of the same queries: by price, and by id."""
+    o = S.run(spark, d)
+    by_id = o.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    asked = o.select("query_id").distinct()
+    runs = {name: evaluate.Inputs(asked, r.select("query_id", "doc_id", "rank"), S.qrels(spark, d, False)) for name, r in (("price", o), ("id", by_id))}
+    return evaluate.run_suite(runs, ["gold_temporal_mrr"], KS).select("run_id", "query_id", "k", "score")
+
+
+@query(f"SELECT query_id, round(0.25 * p + 0.25 * r, 4) AS weighted FROM (SELECT query_id, max(score) FILTER (metric = 'p') AS p, max(score) FILTER (metric = 'r') AS r FROM (SELECT query_id, 'p' AS metric, k, score FROM ({_SQL_FOCUS['temporal_precision']}) UNION ALL SELECT query_id, 'r', k, score FROM ({_SQL_GOLD['temporal_recall']})) WHERE k = 5 GROUP BY 1)")
+def composite_by_name(spark, d):
+    """Components by name at their lowest cut-off; missing ones are 0."""
+    i = _inputs(spark, d)
+    scores = evaluate.evaluate(evaluate.Inputs(i.run.select("query_id"), i.run, i.qrels), ["focus_temporal_precision", "gold_temporal_recall"], (10, 5))
+    return evaluate.composite(scores, "focus_temporal_precision", "gold_temporal_recall", "temporal_faithfulness", "temporal_coherence").select("query_id", "weighted")
+
+
+@query(f"""SELECT query_id, status, CAST(CASE WHEN list_distinct(regexp_extract_all(answer, '[0-9]+')) IS NULL THEN 1 ELSE o END AS DOUBLE) AS ordering,
+  round(len(list_intersect(aft, list_sort([1995 + query_id % 7, 1995 + (query_id + 3) % 7]))) / 2.0, 5) AS duration, (CAST(list_contains(aft, 1996) AS INTEGER) + CAST(list_contains(aft, 1998) AS INTEGER)) / 2.0 AS cross_period,
+  array_to_string(list_sort(list_distinct([y // 5 * 5 FOR y IN aft])), ',') AS periods, array_to_string(aft, ',') AS years
+  FROM (SELECT *, (SELECT CAST(bool_and(f >= g) AS INTEGER) FROM (SELECT f, coalesce(lag(f) OVER (ORDER BY y), 0) AS g FROM (SELECT y, list_position(string_split(answer, ' '), CAST(y AS VARCHAR)) AS f FROM (SELECT unnest(aft) AS y)))) AS o FROM ({_SQL_ANSWERS}))""")
+def reasoning_judgments(spark, d):
+    """Event order, duration and cross-period verdicts on answers, five-year periods and implied years."""
+    rows = _answers(spark, d).withColumns({"qft": S.asked_years("query_id"), "baseline": F.lit(1996), "comparison": F.lit(1998), "doc": F.col("answer")})
+    said = judge.verdicts(rows, ("ordering", "duration", "cross_period", "periods", "years"), keys=("query_id", "status"))
+    return said.select("query_id", "status", "ordering.ordering_score", F.round("duration.accuracy_score", 5).alias("duration"), F.col("cross_period.cross_period_score").alias("cross_period"), shown("periods.unique_years").alias("periods"), shown("years.all_years").alias("years")).withColumnRenamed("ordering_score", "ordering")

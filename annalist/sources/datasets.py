@@ -159,7 +159,7 @@ def cross_period_only(df: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, n: int, seed: int = 42, key: str = "query_id") -> DataFrame:
     """n rows without replacement, the same ones for the same seed wherever they are stored."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))), key).limit(n)
 
 
 def flat(df: DataFrame, *keys: str) -> DataFrame:

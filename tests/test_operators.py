@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import efficiency, guidance, judge, meta, ranking
+from annalist.operators import efficiency, guidance, judge, meta, metrics, ranking
 from annalist.sources import datasets
 from annalist.streaming import ops
 
@@ -38,8 +38,8 @@ def test_ranking_reads_all_languages(spark):
     idf = {w: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
     weigh = lambda w, n, length: idf[w] * n / (n + 0.9 * (1 - 0.4 + 0.4 * length / mean))
     score = {
-        "keyword_overlap_all_languages": lambda q, b, length: float(len(q.keys() & b.keys())),
-        "bm25_all_languages": lambda q, b, length: sum(weigh(w, b[w], length) * weigh(w, q[w], q.total()) for w in q.keys() & b.keys()),
+        "keyword_overlap": lambda q, b, length: float(len(q.keys() & b.keys())),
+        "bm25": lambda q, b, length: sum(weigh(w, b[w], length) * weigh(w, q[w], q.total()) for w in q.keys() & b.keys()),
     }
     for name, f in score.items():
         got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in QUERIES[name](spark, d).collect()}
@@ -152,7 +152,7 @@ def test_meta(spark):
     moved = t.select(meta.scramble_years(F.col("t"))).first()[0]
     assert "1999" not in moved and moved.startswith("It was 20")
     assert sorted(t.select(meta.shuffle_events(F.col("t"))).first()[0].split(". ")) == sorted("It was 1999. Then 2001. End".split(". "))
-    assert t.select(meta.inject_hallucination(F.col("t"))).first()[0].endswith(meta.STATEMENTS[0]) or True
+    assert t.select(meta.inject_hallucination(F.col("t"))).first()[0].removeprefix("It was 1999. Then 2001. End ") in meta.STATEMENTS
     o = spark.createDataFrame([(1, "lower", 0.5), (2, "same", 0.5), (3, "higher", None)], "case_id int, expected string, score double")
     p = spark.createDataFrame([(1, 0.4), (2, 0.5), (3, 0.9)], "case_id int, score double")
     assert tuple(meta.report(meta.validate(o, p)).first()) == (3, 2, 1)
@@ -196,3 +196,92 @@ def test_contract_has_sql_for_queries():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(o) > 45
     assert json.dumps(sorted(o))
+
+
+def test_evaluate(spark):
+    from annalist.operators import evaluate
+
+    queries = spark.createDataFrame([(1, "change_over_time", 2000, 2001), (2, "specific_time", 2000, 2001), (3, "specific_time", 2000, 2001)], "query_id long, temporal_focus string, baseline int, comparison int")
+    run = spark.createDataFrame([(1, "a", 1, [2000], [2000]), (1, "b", 2, [2000], [2001]), (2, "a", 1, [2000], [2000])], "query_id long, doc_id string, rank int, qft array<int>, dft array<int>")
+    qrels = spark.createDataFrame([(1, "a", 1.0), (3, "z", 1.0)], "query_id long, doc_id string, gain double")
+    i = evaluate.Inputs(queries, run, qrels)
+    evaluate.register_metric(evaluate.Metric("broken", "retrieval", lambda *x: run.select("nothing")))
+    got = {(r["query_id"], r["metric"], r["k"]): (r["score"], r["error"]) for r in evaluate.evaluate(i, ["focus_temporal_precision", "gold_temporal_recall", "temporal_coverage", "temporal_faithfulness", "broken"], (1, 5)).collect()}
+    assert len(got) == 3 * (2 + 2 + 2 + 1 + 2)
+    assert got[1, "focus_temporal_precision", 5] == (0.5, None) and got[3, "focus_temporal_precision", 5] == (0.0, None)
+    assert got[1, "gold_temporal_recall", 1] == (1.0, None) and got[3, "gold_temporal_recall", 5] == (0.0, None)
+    assert got[1, "temporal_coverage", 5][0] == 1.0 and got[2, "temporal_coverage", 5][0] == 0.0  # not about change
+    assert got[1, "temporal_faithfulness", None] == (None, "lacks answer_texts.answer")
+    assert got[1, "broken", 1][0] is None and "nothing" in got[1, "broken", 1][1]
+    del evaluate.METRICS["broken"]
+    with pytest.raises(ValueError, match="no metric named"):
+        evaluate.get_metric("nope")
+    assert "gold_temporal_mrr" in evaluate.list_metrics(requires_gold=True) and evaluate.list_metrics(higher_is_better=False) == ["temporal_hallucination"]
+    c = evaluate.Config(k_values=[3], judge="x")
+    assert evaluate.Config.from_dict(c.to_dict() | {"unknown": 1}) == c
+
+
+def test_gold_scores_queries_without_results(spark):
+    run = spark.createDataFrame([(1, "a", 1)], "query_id long, doc_id string, rank int")
+    qrels = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0)], "query_id long, doc_id string, gain double")
+    got = {(r["query_id"], r["metric"]): r["score"] for r in metrics.gold(run, qrels, (5,)).collect()}
+    assert {m: s for (q, m), s in got.items() if q == 2} == {"temporal_recall": 0.0, "temporal_ndcg": 0.0, "temporal_mrr": 0.0}
+
+
+def test_rule_judge_by_columns(spark):
+    """The same verdicts in the JVM and row by row."""
+    from annalist.functions.text import json_answer
+
+    rows = [(1, "a", "in 1990 and 2001", "1990 1995", "2001 then 1999, 2001", "1999", 1990, 2001), (2, "b", None, "", "", None, None, 1999), (3, "c", "1999", "no", "1994 1995", "1994", 1994, 1995)]
+    d = spark.createDataFrame(rows, "query_id long, doc_id string, query string, doc string, answer string, context string, baseline int, comparison int")
+    for kind, contract in judge.CONTRACTS.items():
+        by_row = [judge.RuleJudge().answer(kind, dict(zip(d.columns, r, strict=True))) for r in rows]
+        want = [r["x"].asDict() for r in spark.createDataFrame([(x,) for x in by_row], "j string").select(json_answer("j", contract).alias("x")).collect()]
+        got = [r["x"].asDict() for r in judge.verdicts(d, (kind,)).orderBy("query_id").select(F.col(kind).cast(f"struct<{', '.join(f.replace(' ', ':', 1) for f in contract.split(', '))}>").alias("x")).collect()]
+        assert got == want, kind
+
+
+def test_taggers_and_retrievers(spark):
+    from annalist.functions import taggers
+
+    d = spark.createDataFrame([(1, "the 1990s"), (2, "boom"), (3, None)], "id long, t string")
+
+    def tag(texts):
+        if "boom" in texts:
+            raise ValueError
+        return [[len(t), len(t)] for t in texts]
+
+    taggers.register_tagger("lengths", tag)
+    assert {r["id"]: r["years"] for r in taggers.tagged(d, "id", "t", "lengths").collect()} == {1: [9], 2: [], 3: [0]}
+    assert {r["id"]: len(r["years"]) for r in taggers.tagged(d, "id", "t").collect()} == {1: 10, 2: 0, 3: 0}
+    assert ranking.list_retrievers() == ["bm25", "cosine", "keyword"]
+    with pytest.raises(ValueError, match="no retriever"):
+        ranking.get_retriever("x")
+
+
+def test_cosine_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    v = np.round(rng.standard_normal((60, 4)), 1)
+    v[7] = 0
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, embedding array<double>").repartition(5)
+    q = d.where("doc_id < 9").withColumnRenamed("doc_id", "query_id")
+    unit = v / np.where(np.linalg.norm(v, axis=1, keepdims=True) > 0, np.linalg.norm(v, axis=1, keepdims=True), 1)
+    s = np.round(unit[:9] @ unit.T, 6)
+    want = {(i, int(j)) for i in range(9) for j in np.lexsort((np.arange(60), -s[i]))[:7]}
+    assert {(r["query_id"], r["doc_id"]) for r in ranking.cosine(q, d, 7).collect()} == want
+
+
+def test_all_phrases(spark):
+    from annalist.functions import years
+
+    for p, (a, b) in years.PHRASES.items():
+        got = spark.createDataFrame([(f"After {p.upper()}, and x{p}",)], "t string").select(years.phrase_years(F.col("t")).alias("y")).first()["y"]
+        assert got == list(range(a, b + 1)), p
+    for p, (a, b) in years.RELATIVE.items():
+        got = spark.createDataFrame([(p.replace(" ", "  "),)], "t string").select(years.relative_years(F.col("t"), 2000).alias("y")).first()["y"]
+        assert got == list(range(2000 + a, 2001 + b)), p
+    t = spark.createDataFrame([("world war i and world war ii, past 3 years",)], "t string")
+    assert t.select(years.phrase_years(F.col("t")).alias("y")).first()["y"] == list(range(1939, 1946))
+    assert t.select(years.relative_years(F.col("t"), 2000).alias("y")).first()["y"] == [1997, 1998, 1999, 2000]
