@@ -363,3 +363,36 @@ def test_narrow_pattern_is_the_pattern(text):
     t = text.encode("utf-8", "replace").decode()
     assert got == bpe.regex.findall(P.PATTERN, t)
     assert [i for w in got for i in bpe._pieces(RANKS).encode_ordinary(w)] == bpe._encoding(RANKS, P.PATTERN).encode_ordinary(t)
+
+
+def test_html_distribution_decides():
+    """The surge and dive points against sums by brute force, and pages that change with the window and the threshold."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 3, 20, 90, 200]) for _ in range(rng.randrange(12))]
+        window, threshold, foot = rng.choice([1, 2, 3]), rng.choice([0, 50, 150]), rng.random() < 0.5
+        total = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+        runs = [i for i in range(len(lengths)) if total[i] and (not i or not total[i - 1])]  # between dives
+        want = [False] * len(lengths)
+        for a in runs:
+            z = next((i for i in range(a, len(lengths)) if not total[i]), len(lengths))
+            surges = [i for i in range(a, z) if total[i] > threshold and lengths[i]]
+            if surges:
+                first = a if foot else surges[0]
+                want[first:z] = [True] * (z - first)
+        assert html_extract.between(lengths, window, threshold, foot) == want, (lengths, window, threshold, foot)
+    prose, short = "word " * 40, "tweet"
+    for name in ('class="legal"', 'class="popular"', 'id="related-work"'):
+        for mark in ("<article><h1>T</h1>{}</article>", "<div>{}</div>"):
+            kept = html_extract.extract(mark.format(f"<p>{prose}</p><section {name}><p>{prose}</p></section><p>{prose}</p>"))
+            assert kept.count(prose.strip()) == 3, (name, mark)
+            gone = html_extract.extract(mark.format(f"<p>{prose}</p><section {name}><p>{short}</p><p><a>{prose}</a></p></section><p>{prose}</p>"))
+            assert gone.count(prose.strip()) == 2 and short not in gone
+    page = f"<article><h1>Title</h1><p>By me</p><div class=legal><p>{'w ' * 25}</p></div><p>{prose}</p><p>Bye</p></article><p>{prose} outside</p>"
+    base = html_extract.extract(page)
+    assert base == f"Title\nBy me\n{prose.strip()}\nBye"
+    assert "w w w" in html_extract.extract(page, surge=40) and html_extract.extract(page, surge=10**6, share=1.1) == ""
+    bare = f"<p>Short start</p><p><a>x</a></p><p><a>y</a></p><p>{prose}</p><p>end</p><p><a>z</a></p><p>late</p>"
+    assert html_extract.extract(bare, window=1) == f"{prose.strip()}\nend" != html_extract.extract(bare)
