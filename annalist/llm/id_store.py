@@ -51,7 +51,7 @@ from . import common as C
 
 SHARD_BYTES = 4 << 20
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
-CACHE, CHUNKS, IDLE = 250_000, 400_000, 200_000
+CACHE, CHUNKS = 400_000, 500_000
 RUN = 1024
 LEVEL = 3
 _SHARD = pa.schema([("first_doc", pa.int64()), ("last_doc", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("payload", pa.binary())])
@@ -146,13 +146,6 @@ class Encoder:
         self.end = np.array([end_id], self.dtype).tobytes()
         self.code = {2: "H", 4: "I"}[id_bytes]
 
-    def rest(self) -> None:
-        """Keep what idle workers may hold: the most frequent words."""
-        (words, rests), known = _caches(self.path, self.dtype)
-        for cache in (words, rests, known):
-            _forget(cache, IDLE)
-        pa.default_memory_pool().release_unused()
-
     def _bytes(self, ids: list[int]) -> bytes:
         a = array(self.code, ids)
         if sys.byteorder == "big":
@@ -259,7 +252,6 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, key: str = "doc
             pa.default_memory_pool().release_unused()
         if ids:
             yield flush()
-        encoder.rest()
         gc.enable()
 
     encoder_bytes = id_bytes(path)
