@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import inspect
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +19,7 @@ from ..shipping import ship
 
 #: Upper bounds of one Arrow batch on its way to Python.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+PLAN_CHARS = 4096
 
 
 def _lean() -> None:
@@ -73,7 +75,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared(spark))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    return df.checkpoint(eager=True)
+    drop()
+    written = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)  # the driver keeps a plan's text for each time that it is planned anew
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", written)
+
+
+def drop() -> None:
+    """On the driver: let handles of plans and arrays go that nothing refers to any more."""
+    gc.collect(1)
+    trim()
 
 
 def forget(*checkpoints: DataFrame) -> None:

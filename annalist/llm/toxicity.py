@@ -308,6 +308,8 @@ def train(sample: Sample, epochs: int = 7, batch: int = 512, seed: int = 0) -> M
             g, _ = model.gradients(ids[used], mine, at, label[rows], weight[rows], drop)
             opt.step(g)
         opt.rate *= 0.75
+    del opt, windows, turn
+    C.drop()
     return model
 
 
