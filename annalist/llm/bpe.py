@@ -58,6 +58,8 @@ def _pieces(path: str) -> tiktoken.Encoding:
 
 #: Patterns are run by the faster ``re`` on texts whose letters are all below this one.
 NARROW = 0x250
+#: Words that are put together at a time.
+SOME = 100_000
 _KNOWN = re.compile(r"\\p\{[LN]\}|\\[sS]|\\?.", re.S)
 
 
@@ -193,7 +195,7 @@ def per_document(docs: DataFrame, path: str, pattern: str, finish, schema: str,
                 ids = [_pieces(path).encode_ordinary(w.decode()) for w in words]
             else:
                 ids = word_ids(answers, len(words))
-            out.append(finish(C.unpack_ids(block["doc_ids"]), C.unpack(block["lengths"], np.uint32).tolist(), C.unpack(block["ids"], np.uint32).tolist(), ids))
+            out.append(finish(C.unpack_ids(block["doc_ids"]), C.unpack(block["lengths"], np.uint32).tolist(), C.unpack(block["ids"], np.uint32), ids))
         return pa.concat_tables(out) if out else arrow.empty_table()
 
     return both.groupBy("block_id").applyInArrow(C.tidy(join), schema)
@@ -205,7 +207,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def finish(doc_ids, lengths, places, ids):
         out, at = [], 0
         for n in lengths:
-            out.append([x for p in places[at : at + n] for x in ids[p]])
+            out.append([x for p in places[at : at + n].tolist() for x in ids[p]])
             at += n
         return pa.table([doc_ids, pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -232,20 +234,29 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def finish(doc_ids, lengths, places, ids):
         shown = [",".join(map(str, got)).encode() for got in ids]
-        # the ids of the whole block in order, and where each document's begin
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, at = np.cumsum(size) - size, np.array(places, np.int64)
-        count = size[at]
-        ends = np.cumsum(count)
-        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))[np.repeat(first[at] - (ends - count), count) + np.arange(int(count.sum()))]
+        first = np.cumsum(size) - size
+        words = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        table, n, a, b = _token_table(path), [], [], []
         bounds = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
-        starts = np.concatenate([[0], ends])[bounds]
-        # decoding: each id joined to the bytes of its token
-        raw = _token_table(path).take(pa.array(flat))
-        byte_ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1)[starts].tolist()
-        data = memoryview(raw.buffers()[2] or b"")
-        a = [hashlib.sha256(b",".join([shown[p] for p in places[x:y]])).hexdigest() for x, y in pairwise(bounds.tolist())]
-        b = [hashlib.sha256(data[x:y]).hexdigest() for x, y in pairwise(byte_ends)]
-        return pa.table([doc_ids, pa.array(np.diff(starts)), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        lo = 0
+        while lo < len(lengths):  # documents of SOME words at a time, or one
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SOME, "right")) - 1)
+            at = places[bounds[lo] : bounds[hi]].astype(np.int64)
+            # the ids in order, and where each document's end
+            count = size[at]
+            ends = np.cumsum(count)
+            flat = words[np.repeat(first[at] - (ends - count), count) + np.arange(int(count.sum()))]
+            cuts = bounds[lo : hi + 1] - bounds[lo]
+            starts = np.concatenate([[0], ends])[cuts]
+            # decoding: each id joined to the bytes of its token
+            raw = table.take(pa.array(flat))
+            data = memoryview(raw.buffers()[2] or b"")
+            n.append(np.diff(starts))
+            b += [hashlib.sha256(data[x:y]).hexdigest() for x, y in pairwise(np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1)[starts].tolist())]
+            mine = at.tolist()
+            a += [hashlib.sha256(b",".join([shown[p] for p in mine[x:y]])).hexdigest() for x, y in pairwise(cuts.tolist())]
+            lo = hi
+        return pa.table([doc_ids, pa.array(np.concatenate(n)), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return per_document(docs, path, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]), key, text)
